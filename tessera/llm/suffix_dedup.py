@@ -12,8 +12,9 @@ Sorting all suffixes of a corpus would move each byte many times, so the sort is
    their first byte and the next one's rank and merged in. Neighbours in the suffix array with SPAN equal bytes make
    groups, whose smallest id decides.
 
-Buckets hold whole keys. A hot passage costs a bucket its distinct segments with a list of ids, and lists are merged in
-each map task before the shuffle.
+Buckets hold whole keys; their number is the session's shuffle partitions. A hot passage's segments are collapsed in
+each map batch before the shuffle; its bucket then holds each distinct segment and 12 bytes for every distinct text that
+has it.
 """
 
 from __future__ import annotations
@@ -217,85 +218,124 @@ def _shared_keys(batches):  # noqa: ANN001, ANN202
             )
 
 
+def _packed(parts: list[np.ndarray | bytes]) -> bytes:
+    """The parts' sizes and bytes in one compressed string."""
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in parts]
+    body = np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw)
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> list[memoryview]:
+    body = memoryview(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True))
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    ends = np.cumsum(np.frombuffer(body, np.int64, n, 8)) + 8 * (n + 1)
+    return [body[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
 def _pack_segments(buckets: int, batches):  # noqa: ANN001, ANN202
-    """(bucket, key, text of the segment, owners) with owners the packed (digest, id, first byte) of those who have it."""
+    """(bucket, segments): the distinct segments of some texts, packed with who has them and where."""
     for batch in batches:
         names, ids, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(3)
-        found: dict[tuple[int, bytes], list] = {}
+        found: dict[int, dict[bytes, list[int]]] = {}
         for data, off, rows in _texts(batch):
             row, key, start, end = _segments(data, off, rows)
-            code = ((key >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
+            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+            code = bucket << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
             bound = np.searchsorted(row, np.arange(rows[0], rows[-1] + 2))
             for n, k in enumerate(rows):
                 known = [np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"]) << np.uint64(32) for x in lists[k].as_py()]
                 a, b = bound[n], bound[n + 1]
                 for i in (np.flatnonzero(np.isin(code[a:b], np.concatenate(known))) + a).tolist():
-                    found.setdefault((int(key[i]), data[start[i] : end[i] + SPAN - 1].tobytes()), []).append(names[k] + int(ids[k]).to_bytes(8, "little") + int(start[i] - off[k]).to_bytes(8, "little"))
-        rows = [(k, s, b"".join(o)) for (k, s), o in found.items()]
-        for a in range(0, len(rows), 8192):
-            k, s, o = zip(*rows[a : a + 8192], strict=True)
-            k = np.array(k, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(s, pa.binary()), pa.array(o, pa.binary())], names=["bucket", "key", "segment", "owners"])
-
-
-_OWNER = np.dtype([("digest", "V16"), ("id", "<i8"), ("at", "<i8")])
-
-
-def _sorted_out(rows: list[tuple[int, bytes, bytes]]):  # noqa: ANN202
-    """(owner, first byte, end) of the spans that go, from whole keys' (key, segment, owners)."""
-    distinct: dict[tuple[int, bytes], list] = {}
-    for key, segment, owners in rows:
-        distinct.setdefault((key, segment), []).append(owners)
-    who = [np.frombuffer(b"".join(x), _OWNER) for x in distinct.values()]
-    text = [s for _, s in distinct]
-    size = np.array([len(s) for s in text], np.int64)
-    data = np.frombuffer(b"".join(text), np.uint8)
+                    found.setdefault(int(bucket[i]), {}).setdefault(data[start[i] : end[i] + SPAN - 1].tobytes(), []).extend((k, int(start[i] - off[k])))
+        for n, segments in found.items():
+            owners = [np.array(x, np.int64).reshape(-1, 2) for x in segments.values()]
+            every = np.concatenate(owners)
+            texts, nth = np.unique(every[:, 0], return_inverse=True)
+            packed = _packed([
+                b"".join(names[k] for k in texts.tolist()), ids[texts], np.array([len(x) for x in segments], np.uint32), np.array([len(x) for x in owners], np.uint32),
+                nth.astype(np.uint32), every[:, 1].astype(np.uint32), b"".join(segments),
+            ])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["bucket", "segments"])
+
+
+def _spans(segments: list[bytes], owners: list[np.ndarray], out: dict[int, list[int]]) -> None:
+    """Adds the spans that go, by text. The segments are those of whole keys, with repeats; owners: (text, id, first byte) rows."""
+    distinct: dict[bytes, list[np.ndarray]] = {}
+    for segment, own in zip(segments, owners, strict=True):
+        distinct.setdefault(segment, []).append(own)
+    who = [np.concatenate(x) for x in distinct.values()]
+    size = np.array([len(s) for s in distinct], np.int64)
     ends = np.cumsum(size)
-    low = window_groups(data, ends - size, ends, np.array([w["id"].min() for w in who], np.int64))
+    low = window_groups(np.frombuffer(b"".join(distinct), np.uint8), ends - size, ends, np.array([w[:, 1].min() for w in who], np.int64))
     base = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-    out = []
-    for n, owners in enumerate(who):
-        own = low[base[n] : base[n] + size[n] - SPAN + 1]
-        first, last = own.min(), own.max()
-        for o in owners if first < owners["id"].max() else ():
-            if last < o["id"]:
-                out.append((o, int(o["at"]), int(o["at"] + size[n])))
-            elif first < o["id"]:
-                at = np.flatnonzero(own < o["id"])
-                s, e = K.merged(at, at + SPAN)
-                out += [(o, int(o["at"] + a), int(o["at"] + b)) for a, b in zip(s, e, strict=True)]
-    return out
+    for n, own in enumerate(who):
+        smallest = low[base[n] : base[n] + size[n] - SPAN + 1]
+        first, last = int(smallest.min()), int(smallest.max())
+        for text, id, at in own[own[:, 1] > first].tolist():
+            if last < id:
+                out.setdefault(text, []).extend((at, at + int(size[n])))
+            else:
+                gone = np.flatnonzero(smallest < id) + at
+                out.setdefault(text, []).extend(np.stack(K.merged(gone, gone + SPAN), axis=1).ravel().tolist())
 
 
 def _sort(batches):  # noqa: ANN001, ANN202
-    """(digest, start, end) from segments that come sorted by (bucket, key)."""
-    def spans(rows: list):  # noqa: ANN202
-        out = _sorted_out(rows)
-        return pa.RecordBatch.from_arrays([pa.array([o["digest"].tobytes() for o, _, _ in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["digest", "start", "end"])
-
-    rows, held, size = [], 0, 0  # held: where the last key's rows begin
+    """(digest, spans): packed pairs of start and end, for each text of a bucket that loses some there."""
+    buckets: dict[int, list[bytes]] = {}
     for batch in batches:
-        for key, segment, owners in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            if rows and rows[-1][0] != key:
-                if size > SORT_BYTES:
-                    yield spans(rows)
-                    rows, size = [], 0
-            rows.append((key, segment, owners))
-            size += len(segment)
-    if rows:
-        yield spans(rows)
+        for bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            buckets.setdefault(bucket, []).append(packed)
+    for bucket in sorted(buckets):
+        names, segments, owners = [], [], []
+        for packed in buckets.pop(bucket):
+            digests, ids, size, count, nth, at, raw = _unpacked(packed)
+            nth, ids = np.frombuffer(nth, np.uint32).astype(np.int64), np.frombuffer(ids, np.int64)
+            rows = np.stack((nth + len(names), ids[nth], np.frombuffer(at, np.uint32).astype(np.int64)), axis=1)
+            names += [bytes(digests[i : i + 16]) for i in range(0, len(digests), 16)]
+            ends = np.cumsum(np.frombuffer(size, np.uint32), dtype=np.int64).tolist()
+            segments += [bytes(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            owners += np.split(rows, np.cumsum(np.frombuffer(count, np.uint32), dtype=np.int64)[:-1])
+        key = np.concatenate([_first_keys(segments[i : i + 4096]) for i in range(0, len(segments), 4096)])
+        order = np.argsort(key, kind="stable")
+        cut, out = np.append(K.runs(key[order]), len(order)).tolist(), {}
+        part, held = [], 0
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = order[a:b].tolist()
+            segment = segments[own[0]]
+            if all(segments[i] == segment for i in own[1:]):  # one segment has nothing to be sorted against
+                every = np.concatenate([owners[i] for i in own]) if len(own) > 1 else owners[own[0]]
+                for text, _, at in every[every[:, 1] > every[:, 1].min()].tolist():
+                    out.setdefault(text, []).extend((at, at + len(segment)))
+                continue
+            part += own
+            held += sum(len(segments[i]) for i in own)
+            if held > SORT_BYTES:
+                _spans([segments[i] for i in part], [owners[i] for i in part], out)
+                part, held = [], 0
+        if part:
+            _spans([segments[i] for i in part], [owners[i] for i in part], out)
+        rows = sorted(out.items())
+        for a in range(0, len(rows), 8192):
+            part = rows[a : a + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array([names[t] for t, _ in part], pa.binary()), pa.array([np.array(x, np.uint32).tobytes() for _, x in part], pa.binary())], names=["digest", "spans"])
+
+
+def _first_keys(segments: list[bytes]) -> np.ndarray:
+    """The key of each segment, that of its first window."""
+    size = np.array([len(s) for s in segments], np.int64)
+    return _keys(np.frombuffer(b"".join(segments), np.uint8))[np.cumsum(size) - size]
 
 
 def _kept(batches):  # noqa: ANN001, ANN202
-    shape = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    shape = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     for batch in batches:
-        for i, j in K.slices(K.texts_of(batch.column(1))[1]):
+        for i, j in K.slices(K.texts_of(batch.column(2))[1]):
             rows = []
-            for digest, text, spans in zip(*(batch.column(c).slice(i, j - i).to_pylist() for c in range(3)), strict=True):
-                s, e = K.merged(np.array([x["start"] for x in spans], np.int64), np.array([x["end"] for x in spans], np.int64)) if spans else ((), ())
+            for digest, id, text, spans in zip(*(batch.column(c).slice(i, j - i).to_pylist() for c in range(4)), strict=True):
+                s, e = K.merged(*np.frombuffer(b"".join(spans), np.uint32).astype(np.int64).reshape(-1, 2).T) if spans else ((), ())
                 s, e = [int(x) for x in s], [int(x) for x in e]
                 kept = b"".join(text[a:b] for a, b in zip([0, *e], [*s, len(text)], strict=True))
-                rows.append({"digest": digest, "n_bytes": len(text), "kept": kept, "spans": [{"start": a, "end": b} for a, b in zip(s, e, strict=True)]})
+                rows.append({"digest": digest, "id": id, "n_bytes": len(text), "kept": kept, "spans": [{"start": a, "end": b} for a, b in zip(s, e, strict=True)]})
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
 
@@ -307,23 +347,28 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     repeated results. Further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
-    buckets = max(8, partitions(docs))
-    keyed = docs.select(F.unhex(F.md5("text")).alias("digest"), "id", "text")
+    buckets = max(32, partitions(docs))
+    keyed = docs.select(F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"), "id", "text")
+    # All three readers of texts take the same columns, so their plans agree and the texts are shuffled once.
     texts = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
-    long = texts.where(F.length("text") >= SPAN)
-    keys = long.mapInArrow(lambda b: _pack_keys(buckets, b), "bucket int, texts binary, keys binary, nth binary")
+    keys = texts.mapInArrow(lambda b: _pack_keys(buckets, b), "bucket int, texts binary, keys binary, nth binary")
     shared = keys.repartition(buckets, "bucket").mapInArrow(_shared_keys, "digest binary, bucket int, keys binary").groupBy("digest").agg(F.collect_list(F.struct("bucket", "keys")).alias("keys"))
-    segments = long.join(shared, "digest").select("digest", "id", "text", "keys").mapInArrow(lambda b: _pack_segments(buckets, b), "bucket int, key long, segment binary, owners binary")
-    spans = segments.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key").mapInArrow(_sort, "digest binary, start long, end long")
-    by_text = spans.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = texts.join(by_text, "digest", "left").select("digest", "text", "spans").mapInArrow(_kept, "digest binary, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
-    first = texts.select("digest", F.col("id").alias("first"))
-    out = keyed.select("digest", "id").join(done.join(first, "digest"), "digest")
-    copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= SPAN)
-    return out.select(
-        shown_id("id").alias("doc_id"), "n_bytes", F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.col("spans")).alias("spans"),
-    )
+    segments = texts.join(shared, "digest").select("digest", "id", "text", "keys").mapInArrow(lambda b: _pack_segments(buckets, b), "bucket int, segments binary")
+    spans = segments.repartition(buckets, "bucket").mapInArrow(_sort, "digest binary, spans binary")
+    by_text = spans.groupBy("digest").agg(F.collect_list("spans").alias("spans"))
+    done = texts.join(by_text, "digest", "left").select("digest", "id", "text", "spans").mapInArrow(_kept, "digest binary, id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    # Copies of a first text, without the texts: all of a copy is covered, unless it is too short for a window.
+    n_bytes = F.length("text").cast("long")
+    small = keyed.select("digest", "id", n_bytes.alias("n_bytes"), F.when(n_bytes < SPAN, F.col("text")).otherwise(F.lit(b"")).alias("kept"))
+    first = small.groupBy("digest").agg(F.min("id").alias("first"))
+    rows = small.join(first, "digest")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    copies = rows.where("id > first").select("id", "n_bytes", "kept", F.when(F.col("n_bytes") < SPAN, F.slice(whole, 1, 0)).otherwise(whole).alias("spans"))
+    again = rows.where("id = first").groupBy("digest").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    # Rows that repeat a first one are few: a count for each, which Spark broadcasts only while it is small.
+    out = done.join(again, "digest", "left") if again.take(1) else done.withColumn("n", F.lit(1))
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))).select("id", "n_bytes", "kept", "spans").unionByName(copies)
+    return out.select(shown_id("id").alias("doc_id"), "n_bytes", "kept", "spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
