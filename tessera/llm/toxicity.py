@@ -15,6 +15,7 @@ import math
 import re
 import time
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from tessera.llm.frames import load, utf8
 from tessera.llm.language import held_out
 
 BUCKETS, SIZE, SCALE = 1 << 17, 4, 30.0
-FIT_DOCS, FIT_BYTES, EPOCHS, BATCH, RATE = (4000, 2000), 8000, 4, 64, 0.15
+FIT_DOCS, FIT_BYTES, EPOCHS, BATCH, RATE = (3000, 2000), 6000, 4, 64, 0.15
 CACHE_WORDS = 300_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -65,11 +66,11 @@ class Bag:
         self.e = (g.standard_normal((BUCKETS, SIZE)) / SIZE).astype(np.float32)
         self.w, self.b = (g.standard_normal((SIZE, 2)) / np.sqrt(SIZE)).astype(np.float32), np.zeros(2, np.float32)
 
-    def fit(self, docs: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 4) -> None:
+    def fit(self, docs: Iterable[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 4) -> None:
         """Joint training; each label weighs the same. Documents without words are skipped."""
         g = np.random.default_rng(seed)
         vocabulary: dict[bytes, int] = {}
-        texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int64) for d in docs]
+        texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int32) for d in docs]
         rows, own = subwords(list(vocabulary))
         flat, size = rows[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(vocabulary))
         begin = np.concatenate(([0], np.cumsum(size)))
@@ -111,15 +112,14 @@ class Bag:
 def train(docs: DataFrame, labels: DataFrame, fit_docs: tuple[int, int] = FIT_DOCS, fit_bytes: int = FIT_BYTES, epochs: int = EPOCHS) -> Bag:
     """From docs (doc_id, text) and labels (doc_id, toxic). Null labels teach nothing; without labels scores are the prior."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.select("doc_id", "text").where(F.octet_length("text").between(1, fit_bytes)).join(marks, "doc_id")
-    rows = []
-    for k in (0, 1):
-        chosen = usable.where(F.col("toxic") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs[k])
-        rows += [(r.doc_id, r.text, k) for r in usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").collect()]
+    usable = docs.select("doc_id", "text").where(F.octet_length("text").between(1, fit_bytes))
+    sized = usable.select("doc_id").join(marks, "doc_id")  # texts stay out of this shuffle
+    chosen = [(k, sized.where(F.col("toxic") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs[k])) for k in (0, 1)]
+    rows = [(r.doc_id, r.text, k) for k, ids in chosen for r in usable.join(F.broadcast(ids), "doc_id").collect()]
     rows.sort()
     bag = Bag()
     if rows:
-        bag.fit([words_of(t.encode()) for _, t, _ in rows], np.array([k for _, _, k in rows]), epochs)
+        bag.fit((words_of(t.encode()) for _, t, _ in rows), np.array([k for _, _, k in rows]), epochs)
     return bag
 
 
