@@ -34,3 +34,6 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     groups = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     return groups.agg(F.count("*").alias("members"), F.min("doc_id").alias("canonical"), F.sum("n_chars").alias("chars")).where("members > 1")
+
+
+import tessera.plans.catalog  # noqa: E402, F401  registers its queries
