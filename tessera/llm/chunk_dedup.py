@@ -58,7 +58,7 @@ def cuts(data: np.ndarray, off: np.ndarray) -> list[list[int]]:
 
 
 def _digests(text: memoryview, ends: list[int]) -> list[bytes]:
-    return [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _chunks(batches):  # noqa: ANN001, ANN202
@@ -90,7 +90,7 @@ def _removed(batches):  # noqa: ANN001, ANN202
                 text = data[off[k] : off[k + 1]].tobytes()
                 later = {(x["at"], x["d1"]) for x in lists[k].as_py() or ()}
                 seen, kept, spans = set(), [], []
-                for n, (a, b, d) in enumerate(zip([0, *ends[:-1]], ends, _digests(memoryview(text), ends), strict=True)):
+                for n, (a, b, d) in enumerate(zip([0, *ends], ends, _digests(memoryview(text), ends), strict=False)):
                     if b - a >= LEAST and (d in seen or later and (n, int(np.frombuffer(d, np.int64)[0])) in later):
                         if spans and spans[-1]["end"] == a:
                             spans[-1]["end"] = b

@@ -38,10 +38,34 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return ranked.withColumn("best", level).select("place", "source", "source_size", F.when(F.col("best") < F.col("full"), F.col("best") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
+def settle_heavy(units: list[list], most: int = 16, share: float = 0.004) -> None:
+    """Decides the heaviest units first, while all others can still make up for them in words.
+
+    Each moves along a direction that shifts the others' probabilities alike; three at a time they could not, and the
+    landing would be left with a document that nothing weighs up.
+    """
+    size, pi = np.array([u[0] for u in units], float), np.array([u[1] for u in units])
+    for i in np.argsort(-size, kind="stable")[:most].tolist():
+        open_now = (pi > 0) & (pi < 1)
+        open_now[i] = False
+        rest = size[open_now].sum()
+        if size[i] < share * size.sum() or not rest:
+            break
+        for to in (1.0, 0.0) if units[i][2] < pi[i] else (0.0, 1.0):
+            moved = pi[open_now] - (to - pi[i]) * size[i] / rest
+            if moved.min() > 0 and moved.max() < 1:
+                pi[open_now], pi[i] = moved, to
+                break
+    for u, x in zip(units, pi.tolist(), strict=True):
+        u[1] = x
+
+
 def fly(units: list[list], leave: int = 2) -> list[list]:
     """Moves units ([size, pi, draw, ...]) in place and returns the undecided ones, `leave` at most (2 or more)."""
     held: list[list] = []
     units = [u for u in units if _NEAR < u[1] < 1 - _NEAR]
+    settle_heavy(units)
+    units = [u for u in units if 0 < u[1] < 1]
     for n, u in enumerate(units):
         if len(held) + len(units) - n <= leave:
             return held + units[n:]
