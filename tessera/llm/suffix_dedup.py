@@ -347,7 +347,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     repeated results. Further columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
-    buckets = max(32, partitions(docs))
+    buckets = max(64, partitions(docs))
     keyed = docs.select(F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"), "id", "text")
     # All three readers of texts take the same columns, so their plans agree and the texts are shuffled once.
     texts = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
