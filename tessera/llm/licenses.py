@@ -76,10 +76,11 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     lookup = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
     # each marked text in units: its lines, and itself
     units = files.where(_marked(F.col("text"), MARKS)).select("file_id", "path", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda line: _marked(line, MARKS)), F.array("text")))).alias("unit"))
-    terms = units.select("file_id", "path", F.filter(_terms(F.col("unit")), lambda t: F.array_contains(known, t)).alias("terms"))
-    weighed = terms.withColumn("vector", F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter("terms", lambda x: x == t)).cast("double"))) * lookup[t]).alias("w"))))
+    # explode(array(x)) computes x once a row; as plain columns the optimizer would copy x into each of its uses
+    terms = units.select("file_id", "path", F.explode(F.array(F.filter(_terms(F.col("unit")), lambda t: F.array_contains(known, t)))).alias("terms"))
+    weighed = terms.select("file_id", "path", F.explode(F.array(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter("terms", lambda x: x == t)).cast("double"))) * lookup[t]).alias("w"))))).alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    scored = weighed.withColumn("length", length).where("length > 0")
+    scored = weighed.select("file_id", "path", "vector", F.explode(F.array(length)).alias("length")).where("length > 0")
 
     def cosine(name: str) -> Column:
         own = F.create_map(*[F.lit(x) for t, w in sorted(vectors[name].items()) for x in (t, w)])
@@ -88,7 +89,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
 
     # the array keeps template order, so the first of equal cosines is found by the greatest (cosine, -place)
     best = F.array_max(F.array(*[F.struct(cosine(n).alias("cosine"), F.lit(-i).alias("place")) for i, n in enumerate(names)]))
-    per_unit = scored.select("file_id", "path", best.alias("best")).where(F.col("best.cosine") >= least)
+    per_unit = scored.select("file_id", "path", F.explode(F.array(best)).alias("best")).where(F.col("best.cosine") >= least)
     own = per_unit.groupBy("file_id", "path").agg(F.max("best").alias("best"))
     own = own.select("file_id", "path", F.element_at(F.array(*map(F.lit, names)), (1 - F.col("best.place")).cast("int")).alias("own_license"), F.col("best.cosine").alias("cosine"))
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
