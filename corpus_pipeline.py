@@ -21,7 +21,8 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: The recurrent network and the cube method cannot be put in SQL; tests compare each stage with a brute-force version.
+#: The recurrent network and the cube method cannot be put in SQL; tests hold the stages' operators
+#: against brute force or held-out accuracy, and the whole run by its columns alone.
 ORACLE_SQL = None
 
 
