@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +38,22 @@ SORT_BYTES = 1 << 19
 _TABLE = K.byte_table(10)
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks from 1, and their number."""
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Dense ranks from 1, their number, and the order of the keys."""
     order = np.argsort(keys)
     ordered = keys[order]
     steps = np.ones(len(keys), np.int64)
     steps[1:] = ordered[1:] != ordered[:-1]
     out = np.empty(len(keys), np.int64)
     out[order] = steps = np.cumsum(steps)
-    return out, int(steps[-1]) if len(steps) else 0
+    return out, int(steps[-1]) if len(steps) else 0, order
 
 
 def _triples(s: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
     """Sortable keys of s[at:at + 3]."""
     if top < 1 << 20:
         return (s[at] * (top + 1) + s[at + 1]) * (top + 1) + s[at + 2]
-    pairs, n = _ranks(s[at] * (top + 1) + s[at + 1])
+    pairs, _, _ = _ranks(s[at] * (top + 1) + s[at + 1])
     return pairs * (top + 1) + s[at + 2]
 
 
@@ -64,20 +66,19 @@ def difference_cover(s: np.ndarray, depth: int, top: int | None = None) -> np.nd
     padded = np.concatenate((s, np.zeros(4, np.int64)))
     one, two, rest = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3), np.arange(0, n, 3)
     sample = np.concatenate((one, two))
-    names, count = _ranks(_triples(padded, sample, top))
+    names, count, by = _ranks(_triples(padded, sample, top))
     if count < len(sample) and depth > 3:
-        inner = difference_cover(names, -(-depth // 3), count)
+        by = difference_cover(names, -(-depth // 3), count)
         names = np.empty(len(sample), np.int64)
-        names[inner] = np.arange(1, len(sample) + 1)
+        names[by] = np.arange(1, len(sample) + 1)
         count = len(sample)
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
-    by = np.argsort(names, kind="stable")
     sample = sample[by]
     sample = sample[sample < n]
     # the other suffixes: first symbol, then the rank of the next one
     key0 = padded[rest] * (count + 1) + rank[rest + 1]
-    order = np.argsort(key0, kind="stable")
+    order = np.argsort(key0)
     rest, key0 = rest[order], key0[order]
     # merge: how many suffixes of either sample class stand before each of them
     ones, twos = sample[sample % 3 == 1], sample[sample % 3 == 2]
@@ -86,7 +87,7 @@ def difference_cover(s: np.ndarray, depth: int, top: int | None = None) -> np.nd
     if (top + 1) ** 2 * (count + 1) < 1 << 62:
         before += np.searchsorted(pair(twos) * (count + 1) + rank[twos + 2], pair(rest) * (count + 1) + rank[rest + 2])
     else:
-        both, m = _ranks(np.concatenate((pair(twos), pair(rest))))
+        both, _, _ = _ranks(np.concatenate((pair(twos), pair(rest))))
         before += np.searchsorted(both[: len(twos)] * (count + 1) + rank[twos + 2], both[len(twos) :] * (count + 1) + rank[rest + 2])
     out = np.empty(len(sample) + len(rest), np.int64)
     # suffixes that are equal to the depth may stand in any order; their counts are kept from falling
@@ -158,6 +159,11 @@ def _segments(data: np.ndarray, off: np.ndarray, rows: range) -> Iterator[tuple[
     return np.flatnonzero(full)[nth] + rows[0], m[start], start + lo, end + lo
 
 
+def _small(x: np.ndarray, limit: int) -> np.ndarray:
+    """Whole numbers under the limit in the type that sorts fastest: two bytes go by radix."""
+    return x.astype(np.uint16) if limit <= 1 << 16 else x
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, range]]:
     data, off = K.texts_of(batch.column(2))
     for i, j in K.slices(off):
@@ -170,13 +176,14 @@ def _pack_keys(buckets: int, batches):  # noqa: ANN001, ANN202
         names = batch.column(0)
         parts = [(row, key) for data, off, rows in _texts(batch) for row, key, _, _ in [_segments(data, off, rows)]]
         row, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ((np.zeros(0, np.int64)), np.zeros(0, np.uint64))
-        order = np.lexsort((key, row))
+        order = np.argsort(key)
+        order = order[np.argsort(_small(row[order], len(names)), kind="stable")]
         row, key = row[order], key[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
         row, key = row[new], key[new]
         bucket, rest = (key >> np.uint64(32)) % np.uint64(buckets), key.astype(np.uint32)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(_small(bucket, buckets), kind="stable")
         at = np.append(K.runs(bucket[order]), len(order))
         for a, b in zip(at[:-1], at[1:], strict=True):
             own = order[a:b]
@@ -232,27 +239,37 @@ def _unpacked(packed: bytes) -> list[memoryview]:
     return [body[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def _known(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shared keys of each text of a batch, bucket above hash, end to end, and where each text's begin."""
+    flat = lists.flatten()
+    count = np.array([0, *pc.binary_length(flat.field(1)).to_pylist()], np.int64) // 4
+    codes = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint32).astype(np.uint64)
+    codes |= np.repeat(flat.field(0).to_numpy().astype(np.uint64) << np.uint64(32), count[1:])
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return codes, np.cumsum(count)[at - at[0]]
+
+
 def _pack_segments(buckets: int, batches):  # noqa: ANN001, ANN202
     """(bucket, segments): the distinct segments of some texts, packed with who has them and where."""
     for batch in batches:
-        names, ids, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(3)
+        names, ids, (codes, code_at) = batch.column(0).to_pylist(), batch.column(1).to_numpy(), _known(batch.column(3))
         found: dict[int, dict[bytes, list[int]]] = {}
         for data, off, rows in _texts(batch):
             row, key, start, end = _segments(data, off, rows)
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
             code = bucket << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
-            bound = np.searchsorted(row, np.arange(rows[0], rows[-1] + 2))
-            for n, k in enumerate(rows):
-                known = [np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"]) << np.uint64(32) for x in lists[k].as_py()]
-                a, b = bound[n], bound[n + 1]
-                for i in (np.flatnonzero(np.isin(code[a:b], np.concatenate(known))) + a).tolist():
-                    found.setdefault(int(bucket[i]), {}).setdefault(data[start[i] : end[i] + SPAN - 1].tobytes(), []).extend((k, int(start[i] - off[k])))
+            bound = np.searchsorted(row, np.arange(rows[0], rows[-1] + 2)).tolist()
+            shared = np.concatenate([np.isin(code[bound[n] : bound[n + 1]], codes[code_at[k] : code_at[k + 1]]) for n, k in enumerate(rows)])
+            row, bucket, start, end, lo = row[shared], bucket[shared], start[shared], end[shared], int(off[rows[0]])
+            raw = data[lo : off[rows[-1] + 1]].tobytes()
+            for n, k, a, b, at in zip(bucket.tolist(), row.tolist(), (start - lo).tolist(), (end + SPAN - 1 - lo).tolist(), (start - off[row]).tolist(), strict=True):
+                found.setdefault(n, {}).setdefault(raw[a:b], []).extend((k, at))
         for n, segments in found.items():
-            owners = [np.array(x, np.int64).reshape(-1, 2) for x in segments.values()]
-            every = np.concatenate(owners)
+            owners = list(segments.values())
+            every = np.fromiter(chain.from_iterable(owners), np.int64).reshape(-1, 2)
             texts, nth = np.unique(every[:, 0], return_inverse=True)
             packed = _packed([
-                b"".join(names[k] for k in texts.tolist()), ids[texts], np.array([len(x) for x in segments], np.uint32), np.array([len(x) for x in owners], np.uint32),
+                b"".join(names[k] for k in texts.tolist()), ids[texts], np.array([len(x) for x in segments], np.uint32), np.array([len(x) // 2 for x in owners], np.uint32),
                 nth.astype(np.uint32), every[:, 1].astype(np.uint32), b"".join(segments),
             ])
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["bucket", "segments"])
@@ -268,9 +285,11 @@ def _spans(segments: list[bytes], owners: list[np.ndarray], out: dict[int, list[
     ends = np.cumsum(size)
     low = window_groups(np.frombuffer(b"".join(distinct), np.uint8), ends - size, ends, np.array([w[:, 1].min() for w in who], np.int64))
     base = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-    for n, own in enumerate(who):
+    # smallest and greatest id among each segment's windows; the positions between hold NO_ID and are left out
+    bounds = np.stack((base, base + size - SPAN + 1), axis=1).ravel()
+    firsts, lasts = np.minimum.reduceat(low, bounds)[::2].tolist(), np.maximum.reduceat(low, bounds)[::2].tolist()
+    for n, (own, first, last) in enumerate(zip(who, firsts, lasts, strict=True)):
         smallest = low[base[n] : base[n] + size[n] - SPAN + 1]
-        first, last = int(smallest.min()), int(smallest.max())
         for text, id, at in own[own[:, 1] > first].tolist():
             if last < id:
                 out.setdefault(text, []).extend((at, at + int(size[n])))
@@ -322,8 +341,7 @@ def _sort(batches):  # noqa: ANN001, ANN202
 
 def _first_keys(segments: list[bytes]) -> np.ndarray:
     """The key of each segment, that of its first window."""
-    size = np.array([len(s) for s in segments], np.int64)
-    return _keys(np.frombuffer(b"".join(segments), np.uint8))[np.cumsum(size) - size]
+    return _keys(np.frombuffer(b"".join([s[:SPAN] for s in segments]), np.uint8))[::SPAN]
 
 
 def _kept(batches):  # noqa: ANN001, ANN202
@@ -351,10 +369,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"), "id", "text")
     # All three readers of texts take the same columns, so their plans agree and the texts are shuffled once.
     texts = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
+    # The number of a bucket is the number of its partition: hashing the numbers would put several into one task.
     keys = texts.mapInArrow(lambda b: _pack_keys(buckets, b), "bucket int, texts binary, keys binary, nth binary")
-    shared = keys.repartition(buckets, "bucket").mapInArrow(_shared_keys, "digest binary, bucket int, keys binary").groupBy("digest").agg(F.collect_list(F.struct("bucket", "keys")).alias("keys"))
+    shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_keys, "digest binary, bucket int, keys binary").groupBy("digest").agg(F.collect_list(F.struct("bucket", "keys")).alias("keys"))
     segments = texts.join(shared, "digest").select("digest", "id", "text", "keys").mapInArrow(lambda b: _pack_segments(buckets, b), "bucket int, segments binary")
-    spans = segments.repartition(buckets, "bucket").mapInArrow(_sort, "digest binary, spans binary")
+    spans = segments.repartitionById(buckets, F.col("bucket")).mapInArrow(_sort, "digest binary, spans binary")
     by_text = spans.groupBy("digest").agg(F.collect_list("spans").alias("spans"))
     done = texts.join(by_text, "digest", "left").select("digest", "id", "text", "spans").mapInArrow(_kept, "digest binary, id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
     # Copies of a first text, without the texts: all of a copy is covered, unless it is too short for a window.
