@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+_RUNS = re.compile(r"[^\W_]+")
 
 
 def tokens(text: Column) -> Column:
@@ -32,3 +40,52 @@ def safe_name(text: Column) -> Column:
     """A file name: characters that paths forbid become blanks, blanks collapse, empty becomes Unknown."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " "))
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("Unknown"))
+
+
+def natural_keys(text: Column) -> list[Column]:
+    """Sort keys: the text with its numbers blanked, the numbers by size, the text itself."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("bigint"))
+    return [F.regexp_replace(F.lower(text), "[0-9]+", "#"), numbers, text]
+
+
+def aliases(title: Column) -> Column:
+    """The lower-cased title, without its first word, and without its last; those of three characters or more."""
+    low = F.lower(title)
+    return F.array_distinct(F.filter(F.array(low, F.regexp_replace(low, "^[^ ]+ ", ""), F.regexp_replace(low, " [^ ]+$", "")), lambda a: F.length(a) >= 3))
+
+
+def output_path(author: Column, series: Column, position: Column, title: Column, suffix: str) -> Column:
+    """author/series/NN - title/author - title.suffix, of safe names."""
+    folder = F.concat(F.lpad(position.cast("string"), 2, "0"), F.lit(" - "), safe_name(title))
+    return F.concat_ws("/", safe_name(author), safe_name(series), folder, F.concat(safe_name(author), F.lit(" - "), safe_name(title), F.lit(f".{suffix}")))
+
+
+def json_digest(**fields: Column) -> Column:
+    """SHA-256 of the fields as JSON with sorted names."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields.items())])), 256)
+
+
+def both_ends(text: Column, limit: int) -> Column:
+    """Texts over the limit lose their middle."""
+    mark = " [..] "
+    half = (limit - len(mark)) // 2
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(half)), F.lit(mark), F.right(text, F.lit(half)))).otherwise(text)
+
+
+@F.pandas_udf(StringType())
+def normalized(text: pd.Series) -> pd.Series:
+    """NFKC, case-folded, runs of letters and digits joined by blanks; null stays null. Spark has neither NFKC nor case folding."""
+    return text.map(lambda t: " ".join(_RUNS.findall(unicodedata.normalize("NFKC", t).casefold())), na_action="ignore")
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, for short keys; null where either is null."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """0.65 x Jaccard of the token sets + 0.35 x sequence ratio of the sorted tokens; 0 where either has no tokens."""
+    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    jaccard = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), 0.65 * jaccard + 0.35 * sequence_ratio(title_key(a), title_key(b))).otherwise(0.0)

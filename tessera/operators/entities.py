@@ -54,3 +54,44 @@ def trichotomy(expected: DataFrame, current: DataFrame, key: str) -> DataFrame:
     b = current.select(F.col(key).alias("b_")).distinct()
     state = F.when(F.col("b_").isNull(), "missing").when(F.col("a_").isNull(), "untracked").otherwise("current")
     return a.join(b, F.col("a_") == F.col("b_"), "full").select(F.coalesce("a_", "b_").alias(key), state.alias("state"))
+
+
+def preferred_spelling(rows: DataFrame, key: str, spelling: str) -> DataFrame:
+    """Each key's best spelling: mixed case, then words with an initial capital, then capitals, then the first by code point."""
+    s = F.col(spelling)
+    mixed = (s != F.upper(s)) & (s != F.lower(s))
+    order = Window.partitionBy(key).orderBy(mixed.desc(), F.regexp_count(s, F.lit(r"\b[A-Z]")).desc(), F.regexp_count(s, F.lit("[A-Z]")).desc(), s)
+    return rows.select(key, spelling).distinct().withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
+
+
+def alias_overlap(rows: DataFrame, key: str, on: list[str], aliases: str) -> DataFrame:
+    """Per key: does any of its aliases (an array) belong to another key, too, with equal `on` columns.
+
+    An alias's smallest and greatest key tell that, so no pairs are made.
+    """
+    each = rows.select(key, *on, F.explode(aliases).alias("alias_"))
+    shared = each.groupBy(*on, "alias_").agg(F.min(key).alias("low_"), F.max(key).alias("high_")).where("low_ < high_")
+    hit = each.join(shared, [*on, "alias_"], "left_semi").select(key).distinct().withColumn("hit_", F.lit(True))
+    return rows.select(key).distinct().join(hit, key, "left").select(key, F.coalesce("hit_", F.lit(False)).alias("shared"))
+
+
+def cache_state(files: DataFrame, cache: DataFrame, key: list[str], stamp: list[str]) -> DataFrame:
+    """files with state: hit (key and stamps equal, nulls too), stale (key alone) or miss. The cache has one row a key."""
+    known = cache.select(*key, F.struct(*stamp).alias("cached_"))
+    same = F.struct(*stamp).eqNullSafe(F.col("cached_"))
+    return files.join(known, key, "left").withColumn("state", F.when(F.col("cached_").isNull(), "miss").when(same, "hit").otherwise("stale")).drop("cached_")
+
+
+def greedy_clusters(rows: DataFrame, key: str, value: str, tie: str, absolute: float, relative: float) -> DataFrame:
+    """(key, tie, cluster): in order of value, a row joins its predecessor's cluster while it is within tolerance of the
+    cluster's first value. A key's rows are one array: for keys with few rows, as the parts of one entity."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))))
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("cluster"), F.array().cast("array<struct<t:bigint,cluster:int>>").alias("out"))
+
+    def step(acc, x):  # noqa: ANN001, ANN202
+        near = x["v"] - acc["first"] <= F.greatest(F.lit(absolute), relative * x["v"])
+        cluster = F.when(near, acc["cluster"]).otherwise(acc["cluster"] + 1)
+        return F.struct(F.when(near, acc["first"]).otherwise(x["v"]).alias("first"), cluster.alias("cluster"), F.array_append(acc["out"], F.struct(x["t"].cast("bigint").alias("t"), cluster.alias("cluster"))).alias("out"))
+
+    out = rows.groupBy(key).agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("out"))
+    return out.select(key, F.explode("out").alias("o")).select(key, F.col("o.t").alias(tie), F.col("o.cluster").alias("cluster"))

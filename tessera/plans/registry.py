@@ -36,4 +36,5 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.agg(F.count("*").alias("members"), F.min("doc_id").alias("canonical"), F.sum("n_chars").alias("chars")).where("members > 1")
 
 
+import tessera.plans.audit  # noqa: E402, F401  registers its queries
 import tessera.plans.catalog  # noqa: E402, F401  registers its queries
