@@ -1,9 +1,9 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word's vector is the mean of the embeddings of the whole word and of its character 3- to 5-grams, all hashed into
-BUCKETS rows; a document's is the mean over its words; a softmax over two labels follows. Embeddings and softmax are
+BUCKETS rows; a document's is the mean over its words and NEUTRAL words of zero; a softmax over two labels follows. Embeddings and softmax are
 trained jointly in numpy by Adagrad on a bounded sample (FIT_DOCS of label 0 and 1 by hash, of FIT_BYTES bytes
-at most). A misspelt word shares most n-grams with the right one.
+at most). Embeddings begin at zero, so only n-grams of the sample have a say. A misspelt word shares most n-grams with the right one.
 
 The softmax is linear, so at scoring a word is one number; numbers of words are kept in a bounded cache.
 """
@@ -27,7 +27,11 @@ from tessera.llm.frames import load, utf8
 from tessera.llm.language import held_out
 
 BUCKETS, SIZE, SCALE = 1 << 17, 4, 30.0
-FIT_DOCS, FIT_BYTES, EPOCHS, BATCH, RATE = (3000, 2000), 6000, 4, 64, 0.15
+FIT_DOCS, FIT_BYTES, EPOCHS, BATCH, RATE = (3000, 2000), 6000, 15, 64, 2.0
+#: Adagrad's sums begin here, far above one document's share, so that a row which few documents touch moves little.
+SEEN = 1e-5
+#: Every document counts this many further words of zero, so that a few words alone weigh less.
+NEUTRAL = 10
 CACHE_WORDS = 300_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -63,11 +67,11 @@ def word_numbers(line: np.ndarray, words: list[bytes]) -> np.ndarray:
 class Bag:
     def __init__(self, seed: int = 3) -> None:
         g = np.random.default_rng(seed)
-        self.e = (g.standard_normal((BUCKETS, SIZE)) / SIZE).astype(np.float32)
+        self.e = np.zeros((BUCKETS, SIZE), np.float32)  # n-grams outside the sample stay 0 and add nothing to a score
         self.w, self.b = (g.standard_normal((SIZE, 2)) / np.sqrt(SIZE)).astype(np.float32), np.zeros(2, np.float32)
 
     def fit(self, docs: Iterable[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 4) -> None:
-        """Joint training; each label weighs the same. Documents without words are skipped."""
+        """Joint training; labels weigh as the inverse root of their counts. Documents without words are skipped."""
         g = np.random.default_rng(seed)
         vocabulary: dict[bytes, int] = {}
         texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d], np.int32) for d in docs]
@@ -75,8 +79,8 @@ class Bag:
         flat, size = rows[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(vocabulary))
         begin = np.concatenate(([0], np.cumsum(size)))
         used = [i for i, t in enumerate(texts) if len(t)]
-        weight = np.array([len(labels) / (2 * max(1, (labels == k).sum())) for k in (0, 1)])
-        seen_e, seen_w, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full(self.w.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+        weight = np.array([math.sqrt(len(labels) / (2 * max(1, (labels == k).sum()))) for k in (0, 1)])
+        seen_e, seen_w, seen_b = np.full(BUCKETS, SEEN, np.float32), np.full(self.w.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
         for _ in range(epochs):
             for part in np.array_split(g.permutation(used), max(1, len(used) // BATCH)):
                 if not len(part):
@@ -85,7 +89,7 @@ class Bag:
                 doc = np.repeat(np.arange(len(part)), [len(texts[i]) for i in part])
                 word, at = np.unique(np.concatenate([texts[i] for i in part]), return_inverse=True)
                 share = np.bincount(at * len(part) + doc, minlength=len(word) * len(part)).reshape(len(word), len(part)).astype(np.float32)
-                share /= share.sum(axis=0)
+                share /= share.sum(axis=0) + NEUTRAL
                 n = size[word]
                 rows = flat[np.repeat(begin[word] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
                 edge = np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -147,7 +151,7 @@ def score(docs: DataFrame, bag: Bag) -> DataFrame:
                 texts = [words_of(batch.column(1)[n].as_py()) for n in range(i, j)]
                 new = list(set(itertools.chain.from_iterable(texts)).difference(cache))
                 cache.update(zip(new, word_numbers(line, new).tolist(), strict=True))
-                logits += [bias + (math.fsum(map(cache.__getitem__, words)) / len(words) if words else 0.0) for words in texts]
+                logits += [bias + (math.fsum(map(cache.__getitem__, words)) / (len(words) + NEUTRAL)) for words in texts]
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
             p = np.round(1 / (1 + np.exp(-np.clip(np.array(logits), -40, 40))), 9)
