@@ -27,7 +27,7 @@ from tessera.llm.frames import load, utf8
 from tessera.llm.language import held_out
 
 BUCKETS, SIZE, SCALE = 1 << 17, 4, 30.0
-FIT_DOCS, FIT_BYTES, EPOCHS, BATCH, RATE = (3000, 2000), 6000, 15, 64, 2.0
+FIT_DOCS, FIT_BYTES, EPOCHS, BATCH, RATE = (6000, 3000), 6000, 10, 64, 2.0
 #: Adagrad's sums begin here, far above one document's share, so that a row which few documents touch moves little.
 SEEN = 1e-5
 #: Every document counts this many further words of zero, so that a few words alone weigh less.
