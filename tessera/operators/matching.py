@@ -18,6 +18,36 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: float, o
     return left.join(right, [*on, "band_"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("band_")
 
 
+def contained_pairs(rows: DataFrame, key: str, on: list[str], tokens: str, least: float) -> DataFrame:
+    """(a_key, b_key, containment) of keys a < b with equal `on` columns whose token sets share at least the part `least`
+    (above 0) of the smaller one.
+
+    Rows with the same tokens are one class first. Classes meet on a token, not in their whole block, and only on tokens
+    of the smaller set's prefix: its rarest ones, so many that a pair which is similar enough shares one. The pairs
+    of equal texts are a part of the result. Empty and null sets match nothing; null `on` columns neither.
+    """
+    sets = rows.select(key, *on, F.array_sort(F.array_distinct(tokens)).alias("t_")).where(F.size("t_") > 0)
+    class_ = F.xxhash64(F.array_join("t_", " "))
+    kinds = sets.groupBy(*on, "t_").agg(F.count("*").alias("members_")).withColumn("class_", class_)
+    each = kinds.select(*on, "class_", F.explode("t_").alias("w_"))
+    rare = each.groupBy(*on, "w_").agg(F.count("*").alias("n_"))
+    # a class's tokens from rare to frequent; a class has few tokens, however many classes there are
+    ranked = each.join(rare, [*on, "w_"]).groupBy(*on, "class_").agg(F.array_sort(F.collect_list(F.struct("n_", "w_"))).alias("r_"))
+    size = F.size("r_")
+    prefix = F.slice("r_", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)
+    small = ranked.select(*on, F.col("class_").alias("x_"), size.alias("x_size"), F.explode(prefix).alias("p_")).select(*on, "x_", "x_size", F.col("p_.w_").alias("w_"))
+    large = each.join(ranked.select(*on, "class_", size.alias("y_size")), [*on, "class_"]).withColumnRenamed("class_", "y_")
+    met = small.join(large, [*on, "w_"]).where((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_") <= F.col("y_")))).select(*on, "x_", "y_").distinct()
+    texts = kinds.select(*on, "class_", "t_")
+    met = met.join(texts.select(*on, F.col("class_").alias("x_"), F.col("t_").alias("x_t")), [*on, "x_"]).join(texts.select(*on, F.col("class_").alias("y_"), F.col("t_").alias("y_t")), [*on, "y_"])
+    share = F.size(F.array_intersect("x_t", "y_t")) / F.size("x_t")
+    linked = met.select(*on, "x_t", "y_t", share.alias("containment")).where(F.col("containment") >= least)
+    left, right = sets.select(*on, F.col(key).alias("p_"), F.col("t_").alias("x_t")), sets.select(*on, F.col(key).alias("q_"), F.col("t_").alias("y_t"))
+    pairs = linked.join(left, [*on, "x_t"]).join(right, [*on, "y_t"])
+    pairs = pairs.where((F.col("x_t") != F.col("y_t")) | (F.col("p_") < F.col("q_")))
+    return pairs.select(F.least("p_", "q_").alias("a_key"), F.greatest("p_", "q_").alias("b_key"), "containment")
+
+
 def exactly_one(pairs: DataFrame, key: str) -> DataFrame:
     """Pairs whose key has no other partner."""
     return pairs.join(pairs.groupBy(key).count().where("count = 1").select(key), key, "left_semi")

@@ -70,9 +70,7 @@ FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partk
 WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) >= 0.5""")
 def token_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", T.tokens(F.col("p_name")).alias("t"))
-    a, b = p.select(F.col("p_partkey").alias("a_key"), "p_brand", "p_size", F.col("t").alias("a_t")), p.select(F.col("p_partkey").alias("b_key"), "p_brand", "p_size", F.col("t").alias("b_t"))
-    share = T.containment(F.col("a_t"), F.col("b_t"))
-    return a.join(b, ["p_brand", "p_size"]).where((F.col("a_key") < F.col("b_key")) & (share >= 0.5)).select("a_key", "b_key", F.round(share, 6).alias("containment"))
+    return M.contained_pairs(p, "p_partkey", ["p_brand", "p_size"], "t", 0.5).select("a_key", "b_key", F.round("containment", 6).alias("containment"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS a, l_suppkey % 7 + 1000 + (l_orderkey % 500) // 10 * 10 AS b FROM lineitem),

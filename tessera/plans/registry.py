@@ -38,3 +38,4 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 import tessera.plans.audit  # noqa: E402, F401  registers its queries
 import tessera.plans.catalog  # noqa: E402, F401  registers its queries
+import tessera.plans.shelves  # noqa: E402, F401  registers its queries
