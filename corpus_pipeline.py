@@ -21,8 +21,8 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: The recurrent network and the cube method cannot be put in SQL; tests hold the stages' operators
-#: against brute force or held-out accuracy, and the whole run by its columns alone.
+#: The recurrent network and the cube method cannot be put in SQL. A test chains the stages and holds each one's rows
+#: against brute force on its own input; for language ID and mixing that is what they may reject, and the words taken.
 ORACLE_SQL = None
 
 

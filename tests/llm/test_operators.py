@@ -1,8 +1,9 @@
 """The corpus operators against brute force, on texts with nulls, blanks, ties, repeats and clashing columns."""
 
 import hashlib
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -79,20 +80,7 @@ def test_tiles_split_without_loss(spark, monkeypatch):
 
 
 def test_line_dedup(docs, rows, empty):
-    chunks = [(1 << 62 if i is None else i, line_dedup.line_chunks((t or "").encode())) for i, t in rows]
-    low = {}
-    for i, own in chunks:
-        for c in own:
-            low[b"\n".join(c)] = min(low.get(b"\n".join(c), 1 << 62), i)
-    want = []
-    for (i, own), (doc, _) in zip(chunks, rows, strict=True):
-        seen, kept = set(), []
-        for c in own:
-            whole = b"\n".join(c)
-            if len(c) < 2 or (low[whole] == i and whole not in seen):
-                kept += c
-            seen.add(whole)
-        want.append((doc, sum(map(len, own)) - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()))
+    want = [(doc, taken, hashlib.sha256(text.encode()).hexdigest()) for doc, text, taken in lines_left(rows)]
     same(line_dedup.line_dedup(docs).select("doc_id", "removed", F.sha2("kept", 256)), want)
     assert line_dedup.stage(None, docs, SF).columns == docs.columns
     assert line_dedup.line_dedup(empty).count() == 0
@@ -241,6 +229,89 @@ def test_sql(spark):
         assert a == b, name
 
 
+def lines_left(rows):
+    """(id, text without repeated chunks, lines taken) of each row, by brute force."""
+    chunks = [(1 << 62 if i is None else i, line_dedup.line_chunks((t or "").encode())) for i, t in rows]
+    low = {}
+    for i, own in chunks:
+        for c in own:
+            low[b"\n".join(c)] = min(low.get(b"\n".join(c), 1 << 62), i)
+    for (i, own), (doc, _) in zip(chunks, rows, strict=True):
+        seen, kept = set(), []
+        for c in own:
+            whole = b"\n".join(c)
+            if len(c) < 2 or (low[whole] == i and whole not in seen):
+                kept += c
+            seen.add(whole)
+        yield doc, b"\n".join(kept).decode(), sum(map(len, own)) - len(kept)
+
+
+def first_of_class(rows):
+    """Ids whose class of similar shingle sets holds no smaller one."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    links = [(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and 5 * len(a & b) >= 4 * len(a | b)]
+    for _ in sets:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i for i in sets if root[i] == i}
+
+
+def leaks(rows, items):
+    """Ids with a window of an item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + 10]) for t in items for w in [words(t)] for i in range(max(0, len(w) - 9) or 1) if w}
+    sizes = {len(w) for w in windows}
+    return {i for i, t in rows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows}
+
+
+def test_pipeline_by_stages(spark, tmp_path):
+    """Each stage's rows against brute force on its own input, with planted copies, passages and texts without letters.
+
+    The near copy is one line: of one with its lines, line dedup leaves the changed lines, which resemble nothing.
+    """
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first().text
+    old = [(r.doc_id, r.text) for r in base.orderBy("doc_id").limit(120).collect() if len(r.text.split()) > 80][:6]
+    block = "\n".join(f"a line that many documents share, number {k}" for k in range(60))
+    new = [(5000, None), (5001, ""), (5002, "12 34 \n 56"), (5003, old[0][1]), (5004, " ".join(old[1][1].split()) + " indeed"), (5005, "and then " + item + " so it goes"), (5006, old[2][1] + "\n" + block), (5007, old[3][1] + "\n" + block), (5008, old[4][1] + " " + item.upper())]
+    more = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in new], base.schema)
+    rows = lambda d: [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    stages, docs, steps = dict(corpus_pipeline.STAGES), base.unionByName(more), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == base.columns, name
+        steps.append((name, rows(docs), rows(out)))
+        docs = out
+    by = {n: (a, b) for n, a, b in steps}
+    assert list(stages) == list(by)
+
+    was, now = by["language_id"]
+    lettered = [r for r in was if any(c.isalpha() for c in r[1] or "")]
+    assert set(now) <= set(lettered) and len(now) >= 0.97 * len(lettered) and not {5000, 5001, 5002} & {i for i, _ in now}
+
+    was, now = by["line_dedup"]
+    assert sorted(now) == sorted((i, t) for i, t, taken in lines_left(was) if t or not taken)
+    assert any(taken for _, _, taken in lines_left(was))
+
+    was, now = by["ngram_join"]
+    first = first_of_class(was)
+    assert sorted(now) == sorted(r for r in was if r[0] in first)
+    assert {5003, 5004}.isdisjoint(i for i, _ in now)
+
+    was, now = by["decontaminate"]
+    hit = leaks(was, [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    assert sorted(now) == sorted(r for r in was if r[0] not in hit) and 5005 in hit and 5008 in hit | ({5008} - {i for i, _ in was})
+
+    was, now = by["mixing"]
+    times, size = Counter(now), {i: len(t.split()) for i, t in was}
+    assert set(times) <= set(was) and max(times.values()) <= 2
+    assert abs(sum(size[i] * k for (i, _), k in times.items()) - 1.5 * sum(size.values())) <= 0.05 * sum(size.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
