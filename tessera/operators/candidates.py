@@ -8,10 +8,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.operators import matching as M
+
 #: Words that say nothing about a title's identity.
 NOISE = [
     "a", "adaptation", "adventure", "an", "and", "audio", "audiobook", "book", "by", "complete", "credits", "disc", "disk", "dramatized",
@@ -94,7 +96,4 @@ def chosen(pairs: DataFrame, key: str, place: str, threshold: int = 80, margin:
 
     Ties go to the lower place, which must differ within a key.
     """
-    order = Window.partitionBy(key).orderBy(F.desc("score"), place)
-    rows = scored(collapsed(pairs, key, place))
-    rows = rows.withColumns({"rank_": F.row_number().over(order), "lead": F.col("score") - F.lead("score").over(order)}).where("rank_ = 1").drop("rank_")
-    return rows.withColumn("wins", (F.col("score") >= threshold) & (F.col("lead").isNull() | (F.col("lead") >= margin)))
+    return M.top_with_margin(scored(collapsed(pairs, key, place)), key, "score", place, threshold, margin)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,9 +39,18 @@ def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def claims(log: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Every row with the first one's order value of its key, and whether it conflicts with that."""
-    first = F.min(order).over(Window.partitionBy(*key))
-    return log.withColumn("owner", first).withColumn("conflict", F.col(order) != first)
+    """Every row with the first one's order value of its key, and whether it conflicts with that. Null keys are keys, too.
+
+    The minimum is aggregated and joined back: a window would bring all rows of a key to one task.
+    """
+    return with_group(log, key, owner=F.min(order)).withColumn("conflict", F.col(order) != F.col("owner"))
+
+
+def with_group(rows: DataFrame, key: list[str], **totals: Column) -> DataFrame:
+    """rows with their key's aggregates, by a partial aggregate and a join that splits hot keys where it must."""
+    keyed = rows.groupBy(*[F.col(k).alias(f"{k}_g") for k in key]).agg(*[c.alias(n) for n, c in totals.items()])
+    same = [rows[k].eqNullSafe(keyed[f"{k}_g"]) for k in key]
+    return rows.join(keyed, reduce(and_, same)).drop(*[f"{k}_g" for k in key])
 
 
 def completeness(members: DataFrame, key: str, number: str) -> DataFrame:

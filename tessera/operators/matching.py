@@ -54,9 +54,12 @@ def exactly_one(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def top_with_margin(rows: DataFrame, key: str, score: str, tie: str, threshold: float, margin: float) -> DataFrame:
-    """Each key's best row, its lead over the second, and whether it wins: score at least threshold, lead at least margin."""
+    """Each key's best row, its lead over the second, and whether it wins: score at least threshold, lead at least margin.
+
+    The filter on the rank alone makes Spark keep two rows a key before the shuffle; the lead is taken among those.
+    """
     order = Window.partitionBy(key).orderBy(F.desc(score), tie)
-    ranked = rows.withColumn("rank_", F.row_number().over(order)).withColumn("second_", F.lead(score).over(order)).where("rank_ = 1")
+    ranked = rows.withColumn("rank_", F.row_number().over(order)).where("rank_ <= 2").withColumn("second_", F.lead(score).over(order)).where("rank_ = 1")
     lead = F.col(score) - F.col("second_")
     return ranked.withColumn("lead", lead).withColumn("wins", (F.col(score) >= threshold) & (lead.isNull() | (lead >= margin))).drop("rank_", "second_")
 

@@ -152,8 +152,8 @@ def top1_margin(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT p_brand, p_partkey FROM part QUALIFY p_retailprice >= 0.97 * max(p_retailprice) OVER (PARTITION BY p_brand)""")
 def relative_to_best(spark: SparkSession, d: str) -> DataFrame:
-    best = F.max("p_retailprice").over(Window.partitionBy("p_brand"))
-    return table(spark, d, "part").withColumn("best", best).where("p_retailprice >= 0.97 * best").select("p_brand", "p_partkey")
+    part = table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return E.with_group(part, ["p_brand"], best=F.max("p_retailprice")).where("p_retailprice >= 0.97 * best").select("p_brand", "p_partkey")
 
 
 @query("""SELECT o_orderkey, CASE WHEN n IS NULL THEN 'empty' WHEN n = 1 THEN 'single' WHEN returned = n THEN 'all_returned' WHEN returned > 0 THEN 'part_returned' ELSE 'combined' END AS class
@@ -175,9 +175,9 @@ def issue_codes(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY lower(p_name)) > 1 THEN 'review_destination_collision' ELSE 'proposed' END AS state,
 row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1 AS preferred FROM part""")
 def collision_relabel(spark: SparkSession, d: str) -> DataFrame:
-    same = Window.partitionBy(F.lower("p_name"))
-    state = F.when(F.count("*").over(same) > 1, "review_destination_collision").otherwise("proposed")
-    return table(spark, d, "part").select("p_partkey", state.alias("state"), (F.row_number().over(same.orderBy("p_partkey")) == 1).alias("preferred"))
+    part = E.with_group(table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name")), ["name"], n=F.count("*"), first=F.min("p_partkey"))
+    state = F.when(F.col("n") > 1, "review_destination_collision").otherwise("proposed")
+    return part.select("p_partkey", state.alias("state"), (F.col("p_partkey") == F.col("first")).alias("preferred"))
 
 
 @query("""(SELECT n_nationkey AS nation, 'both' AS side FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import candidates as C
+from tessera.operators import lineage as L
 from tessera.operators import shelves as S
 from tessera.plans.registry import query, table
 
@@ -51,3 +52,18 @@ def candidate_choice(spark: SparkSession, d: str) -> DataFrame:
     pairs = rows.select("p_partkey", "place", book(F.col("p_name")).alias("hint"), F.struct(book(F.col("other")).alias("b"), *further).alias("c"))
     candidate = F.struct("c.b.*", "c.cover_url", "c.description", "c.publisher")
     return C.chosen(pairs.select("p_partkey", "place", "hint", candidate.alias("candidate")), "p_partkey", "place").select("p_partkey", "score", "lead", "wins")
+
+
+@query("""WITH p AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 6))) AS s FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
+t AS (SELECT l_orderkey, n, CAST(s AS DOUBLE) AS s, CAST(s AS DOUBLE) + l_orderkey % 40 AS d, CASE WHEN l_orderkey % 3 = 0 THEN n ELSE 0 END AS chapters FROM p WHERE n >= 2),
+e AS (SELECT *, d - s AS gap, (d - s) / greatest(d, 1) AS share FROM t),
+f AS (SELECT l_orderkey, (share > 0.03)::INT + (chapters <> n)::INT AS conflicts, 17 + CASE WHEN chapters = n THEN 25 ELSE 0 END
+ + CASE WHEN gap <= 1 THEN 50 WHEN gap <= 5 THEN 47 WHEN gap <= 30 THEN 42 WHEN share <= 0.005 THEN 36 WHEN share <= 0.01 THEN 28 WHEN share <= 0.03 THEN 16 ELSE 0 END AS points FROM e)
+SELECT l_orderkey, points - 4 * conflicts AS score, conflicts FROM f WHERE points - 4 * conflicts >= 50""")
+def combined_lineage(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_linenumber > 1").select("l_orderkey", "l_linenumber", "l_quantity")
+    parts = lines.select(F.col("l_orderkey").alias("group_key"), F.format_string("Book/%02d.mp3", "l_linenumber").alias("relative_path"), F.col("l_quantity").alias("duration"), F.lit(0).alias("chapters"))
+    sums = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("s"), F.count("*").cast("int").alias("n"))
+    whole = sums.select(F.col("l_orderkey").alias("group_key"), F.lit("Book/Book.m4b").alias("relative_path"), (F.col("s") + F.col("l_orderkey") % 40).alias("duration"), F.when(F.col("l_orderkey") % 3 == 0, F.col("n")).otherwise(0).alias("chapters"))
+    files = parts.unionByName(whole).withColumn("tags", F.create_map().cast("map<string,string>"))
+    return L.combined(files).select(F.col("group_key").alias("l_orderkey"), "score", "conflicts")
