@@ -89,10 +89,10 @@ def verified_reuse(spark: SparkSession, d: str) -> DataFrame:
     return events.select("event_id", "event_type", found.alias("reused")).where("event_type = 'error'").drop("event_type")
 
 
-@query("SELECT l_partkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) = 1")
+@query("SELECT l_partkey, l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(DISTINCT l_orderkey) = 1")
 def claimed_once(spark: SparkSession, d: str) -> DataFrame:
-    claims = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_orderkey").alias("l_orderkey"), F.max("l_orderkey").alias("last"))
-    return claims.where("l_orderkey = last").select("l_partkey", "l_orderkey")
+    claims = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("l_orderkey"), F.max("l_orderkey").alias("last"))
+    return claims.where("l_orderkey = last").select("l_partkey", "l_suppkey", "l_orderkey")
 
 
 @query("""SELECT d.doc_id, q AS quality FROM documents d JOIN (SELECT source, lang, min(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY ALL HAVING min(quality) = max(quality)) g
