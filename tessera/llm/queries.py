@@ -10,6 +10,7 @@ from tessera.llm import chunk_dedup, decontaminate, language, licenses, line_ded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
+    "op1_line_dedup_whole": line_dedup.query_whole,
     "op2_ngram_join": ngram_join.query,
     "op3_mixing": mixing.query,
     "op4_licenses": licenses.query,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op4_licenses": licenses.SQL, "op6_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op1_line_dedup_whole": line_dedup.SQL_WHOLE, "op4_licenses": licenses.SQL, "op6_decontaminate": decontaminate.SQL}

@@ -92,6 +92,17 @@ def test_lines_resist_shifts():
     assert a[2:] == b[-len(a) + 2 :]
 
 
+def test_copies_leave_no_lines(spark):
+    """Copies of a text of lines go as a whole, in the stage as well; a text of one line stays."""
+    texts = ["\n".join(f"text {k} has a line {n}" for n in range(k + 2)) for k in range(30)]
+    rows = [(1000 * copy + k, t) for copy in range(3) for k, t in enumerate(texts)] + [(5000, "alone"), (5001, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    want = [(i, t) for i, t in rows if i < 1000 or i >= 5000]
+    assert sorted(tuple(r) for r in line_dedup.line_dedup(docs).where("kept <> X''").select("doc_id", F.decode("kept", "UTF-8")).collect()) == want
+    assert sorted(tuple(r) for r in line_dedup.stage(spark, docs, SF).select("doc_id", "text").collect()) == want
+    assert all(len(c) > 1 for t in texts for c in line_dedup.line_chunks(t.encode()))
+
+
 def test_chunk_dedup(docs, rows, empty):
     def chunks(text):
         ends = chunk_dedup.cuts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0] if text else []
