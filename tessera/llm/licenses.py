@@ -1,13 +1,18 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Main path: DataFrame expressions alone. Headers are lines, licence files whole texts; of each file the best-scoring unit
-counts. Vectors live in the templates' vocabulary: a term's weight is (1 + ln count) x ln((1 + files) / (1 + files with
+counts. scan compares with several templates a license (WHOLE: licence bodies, standard headers and short notices),
+its units are lines, runs of up to PARAGRAPHS adjacent paragraphs and whole texts, and the first identifier of an SPDX
+line counts with cosine 1 if it names one of the licenses. Vectors live in the templates' vocabulary: a term's weight is (1 + ln count) x ln((1 + files) / (1 + files with
 the term)), with file counts over all files. A directory's license is that of its licensed file with the smallest path;
 a file without one takes that of the nearest directory above it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,40 @@ TEMPLATES = {
 #: A text without any of these is not looked at unit by unit. Every template must hold one.
 MARKS = ("licen", "copyright", "spdx", "permi", "redistribut", "unencumbered")
 LEAST = 0.7
+PARAGRAPHS = 6
+_SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([a-z0-9.-]*[a-z0-9])"
+
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def _gnu(title: str, version: str, date: str) -> list[str]:
+    head = _GNU.format(title, version)
+    return [head, head + _GNU_REST.format(title), f"GNU {title.upper()} Version {version}, {date}", f"This work is licensed under the GNU {title}, version {version}."]
+
+
+#: The templates that scan compares with by default.
+WHOLE = {
+    "AGPL-3.0": _gnu("Affero General Public License", "3", "19 November 2007"),
+    "Apache-2.0": [TEMPLATES["Apache-2.0"], _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "BSD-2-Clause": [_BSD.format(""), "BSD 2-Clause License."],
+    "BSD-3-Clause": [TEMPLATES["BSD-3-Clause"], _BSD.format(_THIRD), "BSD 3-Clause License."],
+    "CC-BY-4.0": [TEMPLATES["CC-BY-4.0"], "Creative Commons Attribution 4.0 International"],
+    "CC-BY-NC-4.0": [TEMPLATES["CC-BY-NC-4.0"], "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "GPL-2.0": _gnu("General Public License", "2", "June 1991"),
+    "GPL-3.0": _gnu("General Public License", "3", "29 June 2007"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "February 1999"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "29 June 2007"),
+    "MIT": [TEMPLATES["MIT"], _MIT, "Licensed under the MIT license."],
+    "MPL-2.0": [TEMPLATES["MPL-2.0"], _MPL, "Mozilla Public License Version 2.0"],
+    "Unlicense": [TEMPLATES["Unlicense"], _UNLICENSE],
+}
 
 
 def _terms(text: Column) -> Column:
@@ -47,21 +86,30 @@ def _marked(text: Column, marks: tuple) -> Column:
     return out
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def _runs(text: Column) -> Column:
+    """Runs of up to PARAGRAPHS adjacent paragraphs; lines without letters and digits part them."""
+    parts = F.split(text, "\n(?:[^A-Za-z0-9\n]*\n)+")
+    starts = F.sequence(F.lit(1), F.size(parts))
+    return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PARAGRAPHS), F.size(parts) - i + 1)), lambda n: F.array_join(F.slice(parts, i, n), "\n"))))
+
+
+def scan(files: DataFrame, templates: dict[str, str | list[str]] | None = None, least: float = LEAST, marks: tuple | None = None) -> DataFrame:
     """One row per row of files (file_id, path, text): file_id, path, own_license, cosine, license, inherited_from.
 
     own_license and cosine are null under the least cosine; equal cosines go to the first template by name.
     inherited_from is the directory, null where the license is the file's own. Null and empty texts and texts without
     letters or digits have no license of their own. Files with a null path inherit nothing. Rows that repeat a path all
     count and get their own results. Further columns are ignored; an empty table gives no rows. The templates are a
-    parameter, so their terms (weights of which come to the driver) are a bounded set.
+    parameter, so their terms (weights of which come to the driver) are a bounded set. With marks, units are the lines
+    and whole texts that hold one of them, as SQL has it.
     """
-    templates = TEMPLATES if templates is None else templates
-    names = sorted(templates)
-    for n in names:
-        if not any(m in templates[n].lower() for m in MARKS):
-            raise ValueError(f"template {n} has none of the marks {MARKS}")
-    counts = {n: {t: ts.count(t) for t in ts} for n in names for ts in [_python_terms(templates[n])]}
+    templates = WHOLE if templates is None else templates
+    bodies = [(n, b) for n in sorted(templates) for b in ([templates[n]] if isinstance(templates[n], str) else templates[n])]
+    for n, b in bodies:
+        if marks and not any(m in b.lower() for m in marks):
+            raise ValueError(f"template {n} has none of the marks {marks}")
+    names = [n for n, _ in bodies]
+    counts = {i: {t: ts.count(t) for t in ts} for i, (_, b) in enumerate(bodies) for ts in [_python_terms(b)]}
     vocabulary = sorted({t for c in counts.values() for t in c})
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = F.array(*map(F.lit, vocabulary))
@@ -71,25 +119,39 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
 
     import math
 
-    vectors = {n: {t: (1 + math.log(c)) * idf[t] for t, c in counts[n].items()} for n in names}
+    vectors = {n: {t: (1 + math.log(c)) * idf[t] for t, c in counts[n].items()} for n in counts}
     norms = {n: math.sqrt(sum(w * w for w in v.values())) for n, v in vectors.items()}
     lookup = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
-    # each marked text in units: its lines, and itself
-    units = files.where(_marked(F.col("text"), MARKS)).select("file_id", "path", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda line: _marked(line, MARKS)), F.array("text")))).alias("unit"))
+    if marks:  # each marked text in units: its lines, and itself
+        units = files.where(_marked(F.col("text"), marks)).select("file_id", "path", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda line: _marked(line, marks)), F.array("text")))).alias("unit"))
+    else:
+        # a unit's cosine is at most the length of the template's part in the text's terms over that of the template
+        def reach(i: int) -> Column:
+            squares = F.create_map(*[F.lit(x) for t, w in sorted(vectors[i].items()) for x in (t, w * w)])
+            return F.aggregate("own", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(squares, t), F.lit(0.0))) >= F.lit(((least - 1e-5) * norms[i]) ** 2)
+
+        own = files.select("file_id", "path", "text", F.explode(F.array(F.array_intersect(_terms(F.col("text")), known))).alias("own")).where("size(own) > 0")
+        own = own.where(reduce(or_, map(reach, vectors)))
+        units = own.select("file_id", "path", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), _runs(F.col("text")), F.array("text")))).alias("unit"))
     # explode(array(x)) computes x once a row; as plain columns the optimizer would copy x into each of its uses
     terms = units.select("file_id", "path", F.explode(F.array(F.filter(_terms(F.col("unit")), lambda t: F.array_contains(known, t)))).alias("terms"))
     weighed = terms.select("file_id", "path", F.explode(F.array(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter("terms", lambda x: x == t)).cast("double"))) * lookup[t]).alias("w"))))).alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     scored = weighed.select("file_id", "path", "vector", F.explode(F.array(length)).alias("length")).where("length > 0")
 
-    def cosine(name: str) -> Column:
+    def cosine(name: int) -> Column:
         own = F.create_map(*[F.lit(x) for t, w in sorted(vectors[name].items()) for x in (t, w)])
         dot = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(own, x["t"]), F.lit(0.0)))
         return F.round(dot / (F.col("length") * F.lit(norms[name] or 1.0)), 6)
 
     # the array keeps template order, so the first of equal cosines is found by the greatest (cosine, -place)
-    best = F.array_max(F.array(*[F.struct(cosine(n).alias("cosine"), F.lit(-i).alias("place")) for i, n in enumerate(names)]))
+    best = F.array_max(F.array(*[F.struct(cosine(i).alias("cosine"), F.lit(-i).alias("place")) for i in vectors]))
     per_unit = scored.select("file_id", "path", F.explode(F.array(best)).alias("best")).where(F.col("best.cosine") >= least)
+    if not marks:  # as a template, an identifier's line would resemble that of any other license
+        places = F.create_map(*[F.lit(x) for i, n in reversed(list(enumerate(names))) if i == names.index(n) for x in (n.lower(), -i)])
+        ids = files.select("file_id", "path", F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1))).alias("spdx"))
+        ids = ids.select("file_id", "path", F.try_element_at(places, F.regexp_replace(F.lower("spdx"), "-(only|or-later)$", "")).alias("place")).where("place is not null")
+        per_unit = per_unit.unionByName(ids.select("file_id", "path", F.struct(F.lit(1.0).alias("cosine"), "place").alias("best")))
     own = per_unit.groupBy("file_id", "path").agg(F.max("best").alias("best"))
     own = own.select("file_id", "path", F.element_at(F.array(*map(F.lit, names)), (1 - F.col("best.place")).cast("int")).alias("own_license"), F.col("best.cosine").alias("cosine"))
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
@@ -116,8 +178,17 @@ _PATH = """concat(coalesce(source, ''), '/', CASE WHEN floor(doc_id / 20) % 3 >
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that SQL fixes: short notices as templates, marked lines and texts as units."""
+    return _found(spark, sf_dir, TEMPLATES, MARKS)
+
+
+def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir)
+
+
+def _found(spark: SparkSession, sf_dir: str, templates: dict | None = None, marks: tuple | None = None) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.expr(_PATH).alias("path"), "text")
-    return scan(docs).withColumnRenamed("file_id", "doc_id")
+    return scan(docs, templates, marks=marks).withColumnRenamed("file_id", "doc_id")
 
 
 def _sql() -> str:

@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": ngram_join.query,
     "op3_mixing": mixing.query,
     "op4_licenses": licenses.query,
+    "op4_licenses_whole": licenses.query_whole,
     "op5_chunk_dedup": chunk_dedup.query,
     "op6_decontaminate": decontaminate.query,
     "op7_media": media.query,

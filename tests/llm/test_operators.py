@@ -224,6 +224,22 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_licenses_whole(spark):
+    """Bodies, standard headers over several lines, SPDX identifiers and common notices, beside other text."""
+    wrap = lambda t, mark="": "\n".join(mark + t[i : i + 60] for i in range(0, len(t), 60))
+    head = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {0} of the License, or\n# (at your option) any later version.\n#\nimport os\nprint(os.name)"
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + licenses._MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")),
+        ("MIT", "/* SPDX-License-Identifier: MIT */\nint x;"), ("MIT", "// Licensed under the MIT license.\nlet x;"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-only\nx = 1"), (None, "# SPDX-License-Identifier: Zlib\nx = 1"),
+        ("GPL-3.0", head.format(3)), ("GPL-2.0", head.format(2)), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble"), ("Apache-2.0", "code\n\n" + wrap(licenses._APACHE) + "\n\nmore code"),
+        ("BSD-2-Clause", licenses._BSD.format("")), ("BSD-3-Clause", licenses._BSD.format(licenses._THIRD)), (None, "nothing of the kind"), (None, "wir gehen mit dem Hund"),
+    ]
+    files = spark.createDataFrame([(i, f"{i}/f", t) for i, (_, t) in enumerate(cases)] + [(100 + i, f"{100 + i}/f", f"other text {i}") for i in range(200)], "file_id long, path string, text string")
+    out = {r.file_id: r.own_license for r in licenses.scan(files).collect()}
+    assert [out[i] for i in range(len(cases))] == [n for n, _ in cases]
+    assert all(out[100 + i] is None for i in range(200))
+
+
 def test_sql(spark):
     import duckdb
 
