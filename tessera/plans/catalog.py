@@ -83,6 +83,13 @@ def entity_components(spark: SparkSession, d: str) -> DataFrame:
     return E.components(rows.select(node.alias("a"), (F.col("l_suppkey") % 7 + 1000 + F.floor(node / 10) * 10).alias("b")).distinct())
 
 
+@query()
+def order_components(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that suppliers link, over all rows; a supplier's node is -1 - l_suppkey. Recursive SQL is too slow for it."""
+    rows = table(spark, d, "lineitem").where("l_orderkey is not null and l_suppkey is not null")
+    return E.components(rows.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct())
+
+
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")

@@ -97,3 +97,33 @@ def test_contained_pairs(spark):
                 want.add((i, j))
         got = [(r.a_key, r.b_key) for r in M.contained_pairs(frame, "id", ["b"], "w", least).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(300)] + [(1000, 1001)], [(0, i) for i in range(1, 400)] + [(-5, 399), (500, 501)]])
+def test_components_chain_and_star(spark, edges):
+    from tessera.operators import entities as E
+
+    assert {tuple(r) for r in E.components(spark.createDataFrame(edges, "a long, b long")).collect()} == union_find(edges)
+
+
+def union_find(edges):
+    up = {n: n for e in edges for n in e}
+
+    def top(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return {(n, top(n)) for n in up}
+
+
+def test_order_components(spark):
+    """Every order and supplier of the table is a node of its own."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    edges = duckdb.sql(f"SELECT DISTINCT l_orderkey, -1 - l_suppkey FROM '{sf}/lineitem.parquet'").fetchall()
+    assert {tuple(r) for r in registry.QUERIES["order_components"](spark, sf).collect()} == union_find(edges)
