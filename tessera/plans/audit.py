@@ -64,6 +64,13 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").orderBy(*T.natural_keys(F.col("c_name")), "c_custkey").limit(50).select("c_custkey", "c_name")
 
 
+@query("""SELECT c_custkey, c_name, row_number() OVER (ORDER BY regexp_replace(lower(c_name), '[0-9]+', '#', 'g'), list_transform(regexp_extract_all(c_name, '[0-9]+'), lambda x: CAST(x AS BIGINT)), c_name, c_custkey) AS place FROM customer""")
+def natural_rank(spark: SparkSession, d: str) -> DataFrame:
+    """natural_order for every customer. The sorted parts are numbered one after the other, as a window would sort in one task."""
+    rows = table(spark, d, "customer").orderBy(*T.natural_keys(F.col("c_name")), "c_custkey").select("c_custkey", "c_name")
+    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), rows.schema.add("place", "long"))
+
+
 @query("""WITH p AS (SELECT p_partkey, p_brand, lower(p_name) AS n FROM part),
 a AS (SELECT DISTINCT p_partkey, p_brand, unnest([n, regexp_replace(n, '^[^ ]+ ', ''), regexp_replace(n, ' [^ ]+$', '')]) AS alias FROM p),
 g AS (SELECT p_brand, alias, min(p_partkey) AS low, max(p_partkey) AS high FROM a WHERE length(alias) >= 3 GROUP BY ALL)
@@ -147,6 +154,13 @@ def keep_best(spark: SparkSession, d: str) -> DataFrame:
     return best.select((-F.col("best.minus")).alias("doc_id"), F.col("best.n_chars").alias("n_chars"))
 
 
+@query("""SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY n_chars DESC, doc_id) = 1""")
+def keep_best_text(spark: SparkSession, d: str) -> DataFrame:
+    """keep_best by whole texts in lower case, so that no text goes for its opening."""
+    best = table(spark, d, "documents").groupBy(F.sha2(F.lower("text"), 256).alias("key")).agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("doc_id"), F.col("best.n_chars").alias("n_chars"))
+
+
 @query("""WITH r AS (SELECT conv_id, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations)
 SELECT a.conv_id, round(55 * avg(CASE WHEN abs(a.n - b.n) <= 100 THEN 1.0 ELSE 0.0 END) + 25, 6) AS score FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.place = b.place AND a.role = 'user' AND b.role = 'assistant' GROUP BY a.conv_id""")
 def aligned_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -183,4 +197,4 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normalized_titles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.normalized(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, d, "part").select("p_partkey", T.normalized(F.col("p_name")).alias("title"))

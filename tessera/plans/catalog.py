@@ -61,6 +61,11 @@ def title_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.title_key(F.substring("text", 1, 80)).alias("title_key"))
 
 
+@query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'))), ' ') AS title_key FROM part""")
+def name_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("title_key"))
+
+
 _TOKENS = r"list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'))"
 
 

@@ -127,3 +127,16 @@ def test_order_components(spark):
     sf = "/root/testdata/sf0.001"
     edges = duckdb.sql(f"SELECT DISTINCT l_orderkey, -1 - l_suppkey FROM '{sf}/lineitem.parquet'").fetchall()
     assert {tuple(r) for r in registry.QUERIES["order_components"](spark, sf).collect()} == union_find(edges)
+
+
+def test_no_row_or_text_is_lost(spark):
+    """Every customer has a place, every different text a document, every part its whole title."""
+    sf = "/root/testdata/sf0.001"
+    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    places = sorted(r.place for r in registry.QUERIES["natural_rank"](spark, sf).collect())
+    assert places == list(range(1, read("customer").count() + 1))
+    assert registry.QUERIES["keep_best_text"](spark, sf).count() == read("documents").select(F.lower("text")).distinct().count()
+    for name, column in (("name_key", "title_key"), ("normalized_titles", "title")):
+        out = registry.QUERIES[name](spark, sf)
+        whole = {r.p_partkey: r.p_name for r in read("part").collect()}
+        assert {r.p_partkey: sorted(set(r[column].split())) for r in out.collect()} == {k: sorted(set(v.lower().split())) for k, v in whole.items()}
