@@ -1,8 +1,9 @@
 """Suffix-array dedup: every byte covered by a 50-byte string that also starts in a document with a smaller id goes.
 
-Sorting all suffixes of a corpus would move each byte many times, so the sort is dealt out first, without loss:
+Sorting all suffixes of a corpus in rounds of shuffles would move each byte many times, so the sort is dealt out first,
+without loss:
 
-1. Equal texts collapse to one row with their smallest id.
+1. Equal texts (by SHA-256) collapse to one row with their smallest id.
 2. Each window of SPAN bytes has a key, the smallest hash among its GRAM-byte grams. Equal windows have equal keys. The
    keys of all texts meet in buckets (packed, two bytes of text number and four of hash); those of two texts or more
    are shared, and only windows with a shared key can repeat.
@@ -12,30 +13,38 @@ Sorting all suffixes of a corpus would move each byte many times, so the sort is
    their first byte and the next one's rank and merged in. Neighbours in the suffix array with SPAN equal bytes make
    groups, whose smallest id decides.
 
-Buckets hold whole keys; their number is the session's shuffle partitions. A hot passage's segments are collapsed in
-each map batch before the shuffle; its bucket then holds each distinct segment and 12 bytes for every distinct text that
-has it.
+The number of buckets follows the measured bytes, so a bucket's size does not grow with the input. Keys that a bounded
+sample of texts shows to be hot would overfill theirs. Their windows get finer keys, by further hashes, LEVELS - 1 times:
+that parts a frequent gram by what stands around it. What is still hot is a passage that very many texts hold: few
+distinct segments with many owners. These segments are sorted with their smallest id alone, and the owners, plain
+rows, learn the outcome by an equi-join on the segment, which Spark may split. The sample only deals out the work: any
+choice of hot keys gives the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import id_or_last, load, partitions, shown_id, utf8
+from tessera.llm.frames import id_or_last, load, partitions, saved, shown_id, utf8
 
 SPAN, GRAM = 50, 16
 #: Bytes of segments that are sorted at once, beyond a key that alone has more.
 SORT_BYTES = 1 << 19
-_TABLE = K.byte_table(10)
+#: Bytes of text for each bucket: the first up to MANY buckets, then the second.
+BUCKET_BYTES, MANY = (4 << 20, 128 << 20), 4096
+#: A key is hot that this share of the sampled texts has, and HOT_LEAST of them.
+SAMPLE, HOT_SHARE, HOT_LEAST, LEVELS = 4096, 1 / 64, 16, 3
+_TABLES = [K.byte_table(10 + level) for level in range(LEVELS)]
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
@@ -128,16 +137,16 @@ def window_groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: n
     return out
 
 
-def _keys(data: np.ndarray) -> np.ndarray:
+def _keys(data: np.ndarray, level: int = 0) -> np.ndarray:
     """The key of each window of SPAN bytes."""
-    h, have = _TABLE[data], 1
+    h, have = _TABLES[level][data], 1
     while have < GRAM:
         h = h[:-have] * K.MULT + (h[have:] ^ (h[have:] >> np.uint64(29)))
         have *= 2
     return K.window_min(K.mix(h), SPAN - GRAM + 1)
 
 
-def _segments(data: np.ndarray, off: np.ndarray, rows: range) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _plain(data: np.ndarray, off: np.ndarray, rows: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, first window, last window + 1, as offsets in data) of all runs of windows with one key."""
     lo = int(off[rows[0]])
     m = _keys(data[lo : off[rows[-1] + 1]])
@@ -148,7 +157,8 @@ def _segments(data: np.ndarray, off: np.ndarray, rows: range) -> Iterator[tuple[
     full = stop > begin
     begin, stop = begin[full], stop[full]
     if not len(begin):
-        return (np.zeros(0, np.int64),) * 4
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     new[begin] = True
     edge = np.zeros(len(m) + 1, np.int64)
     edge[begin] += 1
@@ -159,6 +169,42 @@ def _segments(data: np.ndarray, off: np.ndarray, rows: range) -> Iterator[tuple[
     return np.flatnonzero(full)[nth] + rows[0], m[start], start + lo, end + lo
 
 
+def _finer(data: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the run, key, start, end) of the given runs, cut where the level's key changes."""
+    size = end - start + SPAN - 1
+    nth = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(nth)) - np.repeat(np.cumsum(size) - size, size) + start[nth]
+    m = _keys(data[at], level)
+    whole = at[: len(m)] < end[nth[: len(m)]]
+    nth, at, m = nth[: len(m)][whole], at[: len(m)][whole], m[whole]
+    m = K.mix(key[nth] * K.MULT + m)
+    new = np.ones(len(m), bool)
+    new[1:] = (m[1:] != m[:-1]) | (nth[1:] != nth[:-1])
+    first = np.flatnonzero(new)
+    return nth[first], m[first], at[first], at[np.append(first[1:], len(at)) - 1] + 1
+
+
+def _segments(data: np.ndarray, off: np.ndarray, rows: range, hot: Sequence[np.ndarray] = ()) -> tuple[np.ndarray, ...]:
+    """(row, key, first window, last window + 1, as offsets in data, wide) of all runs of windows with one key.
+
+    hot: by level the keys that get a finer one; what the last level lists stays as it is and is wide.
+    """
+    row, key, start, end = _plain(data, off, rows)
+    wide = np.zeros(len(row), bool)
+    for level, known in enumerate(hot, 1):
+        own = np.isin(key, known)
+        if level == LEVELS or not own.any():
+            wide = own
+            break
+        nth, k, a, b = _finer(data, key[own], start[own], end[own], level)
+        parts = zip((row, key, start, end), (row[own][nth], k, a, b), strict=True)
+        row, key, start, end = (np.concatenate((x[~own], y)) for x, y in parts)
+        order = np.argsort(start, kind="stable")
+        row, key, start, end = row[order], key[order], start[order], end[order]
+        wide = np.zeros(len(row), bool)
+    return row, key, start, end, wide
+
+
 def _small(x: np.ndarray, limit: int) -> np.ndarray:
     """Whole numbers under the limit in the type that sorts fastest: two bytes go by radix."""
     return x.astype(np.uint16) if limit <= 1 << 16 else x
@@ -170,11 +216,43 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, rang
         yield data, off, range(i, j)
 
 
-def _pack_keys(buckets: int, batches):  # noqa: ANN001, ANN202
+def _sampled_keys(hot: Sequence[np.ndarray], batches):  # noqa: ANN001, ANN202
+    """The distinct keys of each text, as finer as hot makes them; where hot has levels, only those of its last one."""
+    for batch in batches:
+        for data, off, rows in _texts(batch):
+            row, key, start, end, _ = _segments(data, off, rows, hot)
+            if hot:
+                _, plain, _, _ = _plain(data, off, rows)
+                finer = ~np.isin(key, plain)
+                row, key = row[finer], key[finer]
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64))], names=["key"])
+
+
+def _hot_keys(keyed: DataFrame, texts: int, sample: int, share: float, least: int) -> list[np.ndarray]:
+    """By level, the keys that many of some `sample` texts have, picked by digest: at most 1 / share times a text's keys."""
+    limit = min(1 << 32, int((1 << 32) * sample / max(1, texts)))
+    picked = keyed.where(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") < limit).select("digest", "text").groupBy("digest").agg(F.any_value("text").alias("text"))
+    picked = saved(picked.select("digest", F.lit(0).alias("id"), "text"))
+    hot: list[np.ndarray] = []
+    floor = max(least, int(share * picked.count()))
+    for _ in range(LEVELS):
+        counts = picked.mapInArrow(lambda b, hot=tuple(hot): _sampled_keys(hot, b), "key long").groupBy("key").count()
+        found = np.array(sorted(r.key for r in counts.where(F.col("count") >= floor).select("key").collect()), np.int64).view(np.uint64)
+        if not len(found):
+            break
+        hot.append(np.sort(found))
+    return hot
+
+
+def _pack_keys(buckets: int, hot: Broadcast, batches):  # noqa: ANN001, ANN202
     """(bucket, texts: digests of some texts, packed) with the distinct keys of each text as hashes and text numbers."""
     for batch in batches:
         names = batch.column(0)
-        parts = [(row, key) for data, off, rows in _texts(batch) for row, key, _, _ in [_segments(data, off, rows)]]
+        parts = [(row[~wide], key[~wide]) for data, off, rows in _texts(batch) for row, key, _, _, wide in [_segments(data, off, rows, hot.value)]]
         row, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ((np.zeros(0, np.int64)), np.zeros(0, np.uint64))
         order = np.argsort(key)
         order = order[np.argsort(_small(row[order], len(names)), kind="stable")]
@@ -249,13 +327,14 @@ def _known(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.cumsum(count)[at - at[0]]
 
 
-def _pack_segments(buckets: int, batches):  # noqa: ANN001, ANN202
+def _pack_segments(buckets: int, hot: Broadcast, batches):  # noqa: ANN001, ANN202
     """(bucket, segments): the distinct segments of some texts, packed with who has them and where."""
     for batch in batches:
         names, ids, (codes, code_at) = batch.column(0).to_pylist(), batch.column(1).to_numpy(), _known(batch.column(3))
         found: dict[int, dict[bytes, list[int]]] = {}
         for data, off, rows in _texts(batch):
-            row, key, start, end = _segments(data, off, rows)
+            row, key, start, end, wide = _segments(data, off, rows, hot.value)
+            row, key, start, end = row[~wide], key[~wide], start[~wide], end[~wide]
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
             code = bucket << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
             bound = np.searchsorted(row, np.arange(rows[0], rows[-1] + 2)).tolist()
@@ -344,6 +423,73 @@ def _first_keys(segments: list[bytes]) -> np.ndarray:
     return _keys(np.frombuffer(b"".join([s[:SPAN] for s in segments]), np.uint8))[::SPAN]
 
 
+def _wide_segments(hot: Broadcast, batches):  # noqa: ANN001, ANN202
+    """(key, segment, digest, id, at) of the wide segments of each text."""
+    for batch in batches:
+        names, ids = batch.column(0), batch.column(1).to_numpy()
+        for data, off, rows in _texts(batch):
+            row, key, start, end, wide = _segments(data, off, rows, hot.value)
+            row, key, start, end = row[wide], key[wide], start[wide], end[wide] + SPAN - 1
+            for a in range(0, len(row), 8192):
+                part = slice(a, a + 8192)
+                own = [data[x:y].tobytes() for x, y in zip(start[part].tolist(), end[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[part].view(np.int64)), pa.array(own, pa.binary()), names.take(pa.array(row[part])), pa.array(ids[row[part]]), pa.array((start - off[row])[part])],
+                    names=["key", "segment", "digest", "id", "at"],
+                )
+
+
+def _sort_wide(batches):  # noqa: ANN001, ANN202
+    """(segment, runs: windows from and to, and the smallest id of the texts that hold them). Rows come sorted by key."""
+    shape = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("low", pa.int64())]))
+
+    def out(segments: list[bytes], ids: list[int]):  # noqa: ANN202
+        size = np.array([len(x) for x in segments], np.int64)
+        ends = np.cumsum(size)
+        low = window_groups(np.frombuffer(b"".join(segments), np.uint8), ends - size, ends, np.array(ids, np.int64))
+        base = np.concatenate(([0], np.cumsum(size + 1)))[:-1].tolist()
+        runs = []
+        for b, n in zip(base, size.tolist(), strict=True):
+            own = low[b : b + n - SPAN + 1]
+            at = K.runs(own)
+            runs.append([{"first": x, "last": y, "low": v} for x, y, v in zip(at.tolist(), [*at[1:].tolist(), len(own)], own[at].tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(segments, pa.binary()), pa.array(runs, shape)], names=["segment", "runs"])
+
+    key, segments, ids, held = None, [], [], 0
+    for batch in batches:
+        for k, segment, id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key and held > SORT_BYTES:
+                yield out(segments, ids)
+                segments, ids, held = [], [], 0
+            key = k
+            segments.append(segment)
+            ids.append(id)
+            held += len(segment)
+    if segments:
+        yield out(segments, ids)
+
+
+def _wide_spans(texts: DataFrame, hot: Broadcast) -> DataFrame:
+    """(digest, spans) as _sort has them, by joins on the wide segments."""
+    rows = texts.mapInArrow(lambda b: _wide_segments(hot, b), "key long, segment binary, digest binary, id long, at long")
+    distinct = rows.groupBy("key", "segment").agg(F.min("id").alias("id")).repartition("key").sortWithinPartitions("key")
+    runs = distinct.mapInArrow(_sort_wide, "segment binary, runs array<struct<first:long,last:long,low:long>>")
+    gone = rows.select("segment", "digest", "id", "at").join(runs, "segment")
+    gone = gone.select("digest", "at", F.filter("runs", lambda r: r["low"] < F.col("id")).alias("runs")).where("size(runs) > 0")
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            lists, at = batch.column(2), batch.column(1).to_numpy()
+            flat, off = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            base = np.repeat(at, np.diff(off))
+            both = np.stack((flat.field(0).to_numpy() + base, flat.field(1).to_numpy() + base + SPAN - 1), axis=1).astype(np.uint32)
+            bound = off - off[0]
+            packed = [both[a:b].tobytes() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["digest", "spans"])
+
+    return gone.mapInArrow(pack, "digest binary, spans binary")
+
+
 def _kept(batches):  # noqa: ANN001, ANN202
     shape = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     for batch in batches:
@@ -357,23 +503,29 @@ def _kept(batches):  # noqa: ANN001, ANN202
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, sample: int = SAMPLE, share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (the remaining bytes), spans removed (maximal, byte offsets).
 
     Null texts count as empty and lose nothing, as do texts under SPAN bytes. A null doc_id stands behind all others.
     Documents with the same id never remove from each other, and a document never from itself. Repeated rows give
-    repeated results. Further columns are ignored; an empty table gives no rows.
+    repeated results. Further columns are ignored; an empty table gives no rows. sample, share and least choose the hot
+    keys, which deal out the work and change no result.
     """
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
-    buckets = max(64, partitions(docs))
-    keyed = docs.select(F.coalesce(F.unhex(F.md5("text")), F.lit(b"")).alias("digest"), "id", "text")
-    # All three readers of texts take the same columns, so their plans agree and the texts are shuffled once.
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    buckets = max(64, partitions(docs), min(MANY, size // BUCKET_BYTES[0]), size // BUCKET_BYTES[1])
+    keyed = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest"), "id", "text")
+    hot_keys = _hot_keys(keyed, count, sample, share, least)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys)
+    # All readers of texts take the same columns, so their plans agree and the texts are shuffled once.
     texts = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
     # The number of a bucket is the number of its partition: hashing the numbers would put several into one task.
-    keys = texts.mapInArrow(lambda b: _pack_keys(buckets, b), "bucket int, texts binary, keys binary, nth binary")
+    keys = texts.mapInArrow(lambda b: _pack_keys(buckets, hot, b), "bucket int, texts binary, keys binary, nth binary")
     shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_keys, "digest binary, bucket int, keys binary").groupBy("digest").agg(F.collect_list(F.struct("bucket", "keys")).alias("keys"))
-    segments = texts.join(shared, "digest").select("digest", "id", "text", "keys").mapInArrow(lambda b: _pack_segments(buckets, b), "bucket int, segments binary")
+    segments = texts.join(shared, "digest").select("digest", "id", "text", "keys").mapInArrow(lambda b: _pack_segments(buckets, hot, b), "bucket int, segments binary")
     spans = segments.repartitionById(buckets, F.col("bucket")).mapInArrow(_sort, "digest binary, spans binary")
+    if len(hot_keys) == LEVELS and len(hot_keys[-1]):
+        spans = spans.unionByName(_wide_spans(texts, hot))
     by_text = spans.groupBy("digest").agg(F.collect_list("spans").alias("spans"))
     done = texts.join(by_text, "digest", "left").select("digest", "id", "text", "spans").mapInArrow(_kept, "digest binary, id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
     # Copies of a first text, without the texts: all of a copy is covered, unless it is too short for a window.
