@@ -41,7 +41,7 @@ SPAN, GRAM = 50, 16
 #: Bytes of segments that are sorted at once, beyond a key that alone has more.
 SORT_BYTES = 1 << 19
 #: Bytes of text for each bucket: the first up to MANY buckets, then the second.
-BUCKET_BYTES, MANY = (4 << 20, 128 << 20), 4096
+BUCKET_BYTES, MANY = (16 << 20, 128 << 20), 4096
 #: A key is hot that this share of the sampled texts has, and HOT_LEAST of them.
 SAMPLE, HOT_SHARE, HOT_LEAST, LEVELS = 4096, 1 / 64, 16, 3
 _TABLES = [K.byte_table(10 + level) for level in range(LEVELS)]
@@ -298,8 +298,8 @@ def _shared_keys(batches):  # noqa: ANN001, ANN202
         for a in range(0, len(cut) - 1, 4096):
             part = [(cut[i], cut[i + 1]) for i in range(a, min(a + 4096, len(cut) - 1))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[nth[own[x]]].tobytes() for x, _ in part], pa.binary()), pa.array(np.full(len(part), bucket, np.int32)), pa.array([key[own[x:y]].tobytes() for x, y in part], pa.binary())],
-                names=["digest", "bucket", "keys"],
+                [pa.array([names[nth[own[x]]].tobytes() for x, _ in part], pa.binary()), pa.array([key[own[x:y]].tobytes() for x, y in part], pa.binary())],
+                names=["digest", "keys"],
             )
 
 
@@ -318,13 +318,11 @@ def _unpacked(packed: bytes) -> list[memoryview]:
 
 
 def _known(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The shared keys of each text of a batch, bucket above hash, end to end, and where each text's begin."""
+    """The shared keys of each text of a batch, end to end, and where each text's begin. 32 bits tell a text's own keys apart."""
     flat = lists.flatten()
-    count = np.array([0, *pc.binary_length(flat.field(1)).to_pylist()], np.int64) // 4
-    codes = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint32).astype(np.uint64)
-    codes |= np.repeat(flat.field(0).to_numpy().astype(np.uint64) << np.uint64(32), count[1:])
+    count = np.array([0, *pc.binary_length(flat).to_pylist()], np.int64) // 4
     at = lists.offsets.to_numpy().astype(np.int64)
-    return codes, np.cumsum(count)[at - at[0]]
+    return np.frombuffer(b"".join(flat.to_pylist()), np.uint32), np.cumsum(count)[at - at[0]]
 
 
 def _pack_segments(buckets: int, hot: Broadcast, batches):  # noqa: ANN001, ANN202
@@ -336,7 +334,7 @@ def _pack_segments(buckets: int, hot: Broadcast, batches):  # noqa: ANN001, ANN2
             row, key, start, end, wide = _segments(data, off, rows, hot.value)
             row, key, start, end = row[~wide], key[~wide], start[~wide], end[~wide]
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-            code = bucket << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
+            code = key.astype(np.uint32)
             bound = np.searchsorted(row, np.arange(rows[0], rows[-1] + 2)).tolist()
             shared = np.concatenate([np.isin(code[bound[n] : bound[n + 1]], codes[code_at[k] : code_at[k + 1]]) for n, k in enumerate(rows)])
             row, bucket, start, end, lo = row[shared], bucket[shared], start[shared], end[shared], int(off[rows[0]])
@@ -513,7 +511,7 @@ def suffix_dedup(docs: DataFrame, sample: int = SAMPLE, share: float = HOT_SHARE
     """
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
     count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    buckets = max(64, partitions(docs), min(MANY, size // BUCKET_BYTES[0]), size // BUCKET_BYTES[1])
+    buckets = max(partitions(docs), min(MANY, size // BUCKET_BYTES[0]), size // BUCKET_BYTES[1])
     keyed = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest"), "id", "text")
     hot_keys = _hot_keys(keyed, count, sample, share, least)
     hot = docs.sparkSession.sparkContext.broadcast(hot_keys)
@@ -521,7 +519,7 @@ def suffix_dedup(docs: DataFrame, sample: int = SAMPLE, share: float = HOT_SHARE
     texts = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
     # The number of a bucket is the number of its partition: hashing the numbers would put several into one task.
     keys = texts.mapInArrow(lambda b: _pack_keys(buckets, hot, b), "bucket int, texts binary, keys binary, nth binary")
-    shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_keys, "digest binary, bucket int, keys binary").groupBy("digest").agg(F.collect_list(F.struct("bucket", "keys")).alias("keys"))
+    shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared_keys, "digest binary, keys binary").groupBy("digest").agg(F.collect_list("keys").alias("keys"))
     segments = texts.join(shared, "digest").select("digest", "id", "text", "keys").mapInArrow(lambda b: _pack_segments(buckets, hot, b), "bucket int, segments binary")
     spans = segments.repartitionById(buckets, F.col("bucket")).mapInArrow(_sort, "digest binary, spans binary")
     if len(hot_keys) == LEVELS and len(hot_keys[-1]):
