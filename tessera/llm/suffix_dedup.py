@@ -24,6 +24,7 @@ choice of hot keys gives the same result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -40,10 +41,10 @@ from tessera.llm.frames import id_or_last, load, partitions, saved, shown_id, ut
 SPAN, GRAM = 50, 16
 #: Bytes of segments that are sorted at once, beyond a key that alone has more.
 SORT_BYTES = 1 << 19
-#: Bytes of text for each bucket: the first up to MANY buckets, then the second.
-BUCKET_BYTES, MANY = (16 << 20, 128 << 20), 4096
-#: A key is hot that this share of the sampled texts has, and HOT_LEAST of them.
-SAMPLE, HOT_SHARE, HOT_LEAST, LEVELS = 4096, 1 / 64, 16, 3
+#: Buckets: so many at least, then one for each so many bytes of text.
+BUCKETS, BUCKET_BYTES = 128, 64 << 20
+#: Of the keys of SAMPLE texts those are hot that alone have HOT_SHARE of a bucket's part, and HOT_LEAST texts.
+SAMPLE, HOT_SHARE, HOT_LEAST, LEVELS = 4096, 1.0, 16, 3
 _TABLES = [K.byte_table(10 + level) for level in range(LEVELS)]
 
 
@@ -232,16 +233,20 @@ def _sampled_keys(hot: Sequence[np.ndarray], batches):  # noqa: ANN001, ANN202
             yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64))], names=["key"])
 
 
-def _hot_keys(keyed: DataFrame, texts: int, sample: int, share: float, least: int) -> list[np.ndarray]:
-    """By level, the keys that many of some `sample` texts have, picked by digest: at most 1 / share times a text's keys."""
+def _hot_keys(keyed: DataFrame, texts: int, buckets: int, sample: int = SAMPLE, share: float = HOT_SHARE, least: int = HOT_LEAST) -> list[np.ndarray]:
+    """By level, the keys that would fill `share` of a bucket, counted in some `sample` texts, picked by digest.
+
+    All keys fill the buckets once, so buckets / share keys are hot at most.
+    """
     limit = min(1 << 32, int((1 << 32) * sample / max(1, texts)))
     picked = keyed.where(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") < limit).select("digest", "text").groupBy("digest").agg(F.any_value("text").alias("text"))
     picked = saved(picked.select("digest", F.lit(0).alias("id"), "text"))
     hot: list[np.ndarray] = []
-    floor = max(least, int(share * picked.count()))
+    floor = 0
     for _ in range(LEVELS):
         counts = picked.mapInArrow(lambda b, hot=tuple(hot): _sampled_keys(hot, b), "key long").groupBy("key").count()
-        found = np.array(sorted(r.key for r in counts.where(F.col("count") >= floor).select("key").collect()), np.int64).view(np.uint64)
+        floor = floor or max(least, math.ceil(share * (counts.agg(F.sum("count")).first()[0] or 0) / buckets))
+        found = np.array([r.key for r in counts.where(F.col("count") >= floor).select("key").collect()], np.int64).view(np.uint64)
         if not len(found):
             break
         hot.append(np.sort(found))
@@ -511,9 +516,9 @@ def suffix_dedup(docs: DataFrame, sample: int = SAMPLE, share: float = HOT_SHARE
     """
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
     count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    buckets = max(partitions(docs), min(MANY, size // BUCKET_BYTES[0]), size // BUCKET_BYTES[1])
+    buckets = max(BUCKETS, partitions(docs), size // BUCKET_BYTES)
     keyed = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest"), "id", "text")
-    hot_keys = _hot_keys(keyed, count, sample, share, least)
+    hot_keys = _hot_keys(keyed, count, buckets, sample, share, least)
     hot = docs.sparkSession.sparkContext.broadcast(hot_keys)
     # All readers of texts take the same columns, so their plans agree and the texts are shuffled once.
     texts = keyed.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))

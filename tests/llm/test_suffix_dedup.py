@@ -56,10 +56,10 @@ def crowd():
 def test_hot_keys(spark):
     rows = crowd()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    plain, sampled = suffix_dedup.suffix_dedup(docs, share=2.0), suffix_dedup.suffix_dedup(docs, least=8)
+    plain, sampled = suffix_dedup.suffix_dedup(docs), suffix_dedup.suffix_dedup(docs, share=0.01, least=8)
     assert found(plain) == found(sampled) == want(rows)
     keyed = docs.select(F.unhex(F.md5("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
-    hot = suffix_dedup._hot_keys(keyed, len(rows), 4096, 1 / 64, 8)
+    hot = suffix_dedup._hot_keys(keyed, len(rows), 128, share=0.01, least=8)
     assert len(hot) == suffix_dedup.LEVELS and len(hot[-1]), "the passage stays hot, so the joined path is tested"
 
 
