@@ -517,7 +517,8 @@ def suffix_dedup(docs: DataFrame, sample: int = SAMPLE, share: float = HOT_SHARE
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
     count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     buckets = max(BUCKETS, partitions(docs), size // BUCKET_BYTES)
-    keyed = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("digest"), "id", "text")
+    # Never null: else joins would filter it, and the readers of texts below would no longer share one plan.
+    keyed = docs.select(F.coalesce(F.unhex(F.substring(F.sha2("text", 256), 1, 32)), F.lit(b"")).alias("digest"), "id", "text")
     hot_keys = _hot_keys(keyed, count, buckets, sample, share, least)
     hot = docs.sparkSession.sparkContext.broadcast(hot_keys)
     # All readers of texts take the same columns, so their plans agree and the texts are shuffled once.
