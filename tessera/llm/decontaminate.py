@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import kernels as K
 from tessera.llm.frames import id_or_last, load, shown_id, utf8
@@ -49,13 +52,13 @@ def _words(text: bytes) -> tuple[list[bytes], np.ndarray]:
 class Index:
     """The items' windows and fingerprints, by window length."""
 
-    def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        self.items: dict[bytes, list[str]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]]) -> None:
+        self.items: dict[bytes, set[str]] = {}
         prints: dict[int, set] = {}
         for item, text in items:
             words, hashes = _words(text)
             for w in dict.fromkeys(_windows(words)):
-                self.items.setdefault(w, []).append(item)
+                self.items.setdefault(w, set()).update(() if item is None else (item,))
             n = min(len(words), WINDOW)
             if n:
                 prints.setdefault(n, set()).update((_fingerprints(hashes) if n == WINDOW else K.grams(hashes, n)).tolist())
@@ -90,7 +93,7 @@ def _scan(index: Index, batches):  # noqa: ANN001, ANN202
             items: dict[int, set] = {}
             for w, n in index.candidates(hashes, doc):
                 found = index.items.get(b" ".join([raw[a:b] for a, b in zip(starts[w : w + n].tolist(), ends[w : w + n].tolist(), strict=True)]))
-                if found:
+                if found is not None:
                     d = int(doc[w])
                     spans.setdefault(d, []).append((w - int(first[d]), w - int(first[d]) + n))
                     items.setdefault(d, set()).update(found)
@@ -105,50 +108,73 @@ def _scan(index: Index, batches):  # noqa: ANN001, ANN202
             )
 
 
-def _windows_of(lengths: list[int], prints_only: bool, batches):  # noqa: ANN001, ANN202
-    """(key, length, print, position[, words]) of every run of windows with one fingerprint, or of every window."""
+def _words_of_slices(column: pa.Array):  # noqa: ANN202
+    """(first row, row after the last, starts, ends, hashes, text number, lowered bytes) of each slice."""
+    data, off = K.texts_of(column)
+    for i, j in K.slices(off):
+        low = _lowered(data[off[i] : off[j]])
+        yield i, j, *K.word_spans(low, off[i : j + 1] - off[i], K.ALNUM), low.tobytes()
+
+
+def _item_windows(batches):  # noqa: ANN001, ANN202
+    """(item, n, print, words) of every window of every item."""
     for batch in batches:
-        keys = batch.column(0)
-        data, off = K.texts_of(batch.column(1))
-        for i, j in K.slices(off):
-            low = _lowered(data[off[i] : off[j]])
-            starts, ends, hashes, doc = K.word_spans(low, off[i : j + 1] - off[i], K.ALNUM)
-            n_words, raw = np.bincount(doc, minlength=j - i), low.tobytes()
-            first = np.searchsorted(doc, np.arange(j - i))
+        for i, j, starts, ends, hashes, doc, raw in _words_of_slices(batch.column(1)):
+            n_words = np.bincount(doc, minlength=j - i)
+            for n in range(1, WINDOW + 1):
+                f = _fingerprints(hashes) if n == WINDOW else K.grams(hashes, n)
+                at = np.arange(len(f))
+                at = at[doc[at] == doc[at + n - 1]]
+                at = at[n_words[doc[at]] == n] if n < WINDOW else at
+                words = [b" ".join(raw[a:b] for a, b in zip(starts[w : w + n].tolist(), ends[w : w + n].tolist(), strict=True)) for w in at.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at] + i)), pa.array(np.full(len(at), n, np.int32)), pa.array(f[at].view(np.int64)), pa.array(words, pa.binary())], names=["item", "n", "print", "words"])
+
+
+def _prints(lengths: list[int], batches):  # noqa: ANN001, ANN202
+    """(key, n, print, first, last) of every run of windows with one fingerprint: the minima that winnowing keeps."""
+    for batch in batches:
+        for i, j, _, _, hashes, doc, _ in _words_of_slices(batch.column(1)):
+            begin = np.searchsorted(doc, np.arange(j - i))
             for n in lengths:
                 f = _fingerprints(hashes) if n == WINDOW else K.grams(hashes, n)
                 at = np.arange(len(f))
                 at = at[doc[at] == doc[at + n - 1]]
-                if not prints_only and n < WINDOW:
-                    at = at[n_words[doc[at]] == n]
-                if len(at):
-                    text = [] if prints_only else [b" ".join(raw[a:b] for a, b in zip(starts[w : w + n].tolist(), ends[w : w + n].tolist(), strict=True)) for w in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(doc[at] + i)), pa.array(np.full(len(at), n, np.int32)), pa.array(f[at].view(np.int64)), pa.array(at - first[doc[at]]), pa.array(text or [None] * len(at), pa.binary())],
-                        names=["key", "n", "print", "at", "words"],
-                    )
+                own = f[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (own[1:] != own[:-1]) | (doc[at[1:]] != doc[at[:-1]])
+                k = np.flatnonzero(new)
+                first, last = at[k], at[np.append(k[1:], len(at)) - 1] if len(k) else at[k]
+                text = doc[first]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + i)), pa.array(np.full(len(k), n, np.int32)), pa.array(own[k].view(np.int64)), pa.array(first - begin[text]), pa.array(last - begin[text])], names=["key", "n", "print", "first", "last"])
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same spans and items by equi-joins alone."""
-    shape = "key {}, n int, print long, at long, words binary"
-    tests = items.mapInArrow(lambda b: _windows_of(list(range(1, WINDOW + 1)), False, b), shape.format("string"))
+_KEY = "struct<id:long,digest:string>"
+
+
+def _hits_by_shuffle(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs by key, their hits: key, items, hits) by equi-joins alone."""
+    tests = items.mapInArrow(_item_windows, "item string, n int, print long, words binary")
     lengths = sorted(r[0] for r in tests.select("n").distinct().collect())  # at most WINDOW numbers
     known = tests.select("n", "print").distinct()
     keyed = docs.select(F.struct("id", F.md5("text").alias("digest")).alias("key"), "text")
-    prints = keyed.mapInArrow(lambda b: _windows_of(lengths, True, b), shape.format("struct<id:long,digest:string>"))
-    near = prints.join(known, ["n", "print"]).groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("near"))
+    prints = keyed.mapInArrow(lambda b: _prints(lengths, b), f"key {_KEY}, n int, print long, first long, last long")
+    near = prints.join(known, ["n", "print"]).groupBy("key").agg(F.collect_set(F.struct("n", "first", "last")).alias("near"))
 
     def spelled(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for key, text, near in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words, _ = _words(text)
-                out = [(x["n"], x["at"], b" ".join(words[x["at"] : x["at"] + x["n"]])) for x in near]
+                out = [(x["n"], at, b" ".join(words[at : at + x["n"]])) for x in near for at in range(x["first"], x["last"] + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(out), batch.schema.field(0).type), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["key", "n", "at", "words"])
 
-    windows = keyed.join(near, "key").select("key", "text", "near").mapInArrow(spelled, "key struct<id:long,digest:string>, n int, at long, words binary")
-    hits = windows.join(tests.select("n", "words", F.col("key").alias("item")).distinct(), ["n", "words"])
-    by_doc = hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("hits"))
+    windows = keyed.join(near, "key").select("key", "text", "near").mapInArrow(spelled, f"key {_KEY}, n int, at long, words binary")
+    hits = windows.join(tests.select("n", "words", "item").distinct(), ["n", "words"])
+    return keyed, hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "n")).alias("hits"))
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same spans and items by equi-joins alone."""
+    keyed, by_doc = _hits_by_shuffle(docs, items)
 
     def spans(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -162,23 +188,50 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     return keyed.join(by_doc, "key", "left").select("key.id", "text", "items", "hits").mapInArrow(spans, OUT)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), utf8().alias("text")).distinct()
+
+
+def _index(items: DataFrame, index_bytes: int) -> Broadcast | None:
+    """The items' index in all tasks, or None where their texts have more than index_bytes bytes."""
+    if (items.agg(F.sum(F.length("text") + 16)).first()[0] or 0) > index_bytes:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Index([(r["item"], bytes(r["text"])) for r in items.collect()]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids as strings, sorted), spans of hit words.
 
     docs needs doc_id and text, benchmark item_id and text; further columns are ignored. Null texts have no words.
-    Items without words or with a null id match nothing; items with equal text all count; a repeated item counts
-    once. Repeated documents each give their own row. Empty tables give no rows, or rows without hits.
+    Items without words match nothing; one with a null id hits words, but is not listed. Items with equal text all count;
+    a repeated item counts once. Repeated documents each give their own row. Empty tables give no rows, or rows without hits.
     """
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"))
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), utf8().alias("text")).distinct()
-    if (items.agg(F.sum(F.length("text") + 16)).first()[0] or 0) <= index_bytes:
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r.item, bytes(r.text)) for r in items.collect()]))
-        out = docs.mapInArrow(lambda batches: _scan(index.value, batches), OUT)
-    else:
-        out = _by_shuffle(docs, items)
+    items = _items(benchmark)
+    index = _index(items, index_bytes)
+    out = _by_shuffle(docs, items) if index is None else docs.mapInArrow(lambda batches: _scan(index.value, batches), OUT)
     return out.withColumn("doc_id", shown_id("id")).select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of docs whose own text has no hit, with all their columns, whatever other rows have the same doc_id."""
+    items = _items(benchmark)
+    index = _index(items, index_bytes)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_or_last().alias("id"), utf8().alias("text"))
+    if index is None:
+        _, hit = _hits_by_shuffle(rows.select("id", "text"), items)
+        hit = hit.select("key.id", "key.digest")
+        return rows.withColumn("digest", F.md5("text")).join(hit, ["id", "digest"], "left_anti").select("row.*")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            found = _scan(index.value, [pa.RecordBatch.from_arrays(batch.columns[1:], names=["id", "text"])])
+            hit = pa.chunked_array([x.column(2) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pc.equal(hit, 0).combine_chunks())], names=["row"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -188,15 +241,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the hit words' documents out of training: contaminated ones go, the others keep all columns."""
-    hit = decontaminate(docs, load(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """Takes the hit words' documents out of training: contaminated rows go, the others keep all columns."""
+    return clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
@@ -204,7 +256,7 @@ dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT r, n, i, item_id FROM dw JOIN bw USING (n, g)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hit)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)

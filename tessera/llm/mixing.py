@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import load, partitions, saved
+from tessera.llm.frames import id_or_last, load, partitions, saved
+from tessera.llm.kernels import NO_ID
 
 WEIGHTS, SHARE, MOST, BLOCK, LAND = (5.0, 2.0, 1.0), 1.5, 2.0, 4096, 14
 _NEAR = 1e-9
-_FIELDS = "doc_id long, digest binary, place int, source_size long, target double, size long, base int, pi double, draw double"
+_FIELDS = "doc_id long, digest binary, place int, source_size long, target double, size long, base int, pi double, draw double, row long"
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -108,7 +109,7 @@ def _flight(last: bool, leave: int, batches):  # noqa: ANN001, ANN202
             land(held)
         for r, u in zip(rows, units, strict=True):
             r["pi"] = u[1] if _NEAR < u[1] < 1 - _NEAR else float(round(u[1]))
-        names = list(rows[0])[:9]
+        names = list(rows[0])[:10]
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], schema.field(n).type) for n in names], names=names)
 
     for batch in batches:
@@ -124,15 +125,24 @@ def _flight(last: bool, leave: int, batches):  # noqa: ANN001, ANN202
         yield out()
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest")
+
+
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns but the text; rows that agree in it and in the text are interchangeable."""
+    return F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.col("text").isNull().alias("no text")))).alias("row")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, digest (MD5 of the text), source place, size, source_size, target, copies, taken.
+    """One row per document: doc_id, digest (MD5 of the text), row (a hash of the other columns), source place, size, source_size, target, copies, taken.
 
     size counts runs of characters other than white space; null and empty texts have 0 and move no words. A source of
     size 0 has target 0. copies is the source's rate rounded down or up, so at most `most`, rounded up. Draws are hashes
     of id and text: reruns agree. Repeated rows are documents of their own. Columns other than doc_id, text and source
     are ignored; an empty table gives no rows. Blocks hold some `block` documents whatever a source's size.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _digest(), _row(docs), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     docs = saved(docs)  # read three times, without the texts
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("members"))
     goals = targets(sizes, weights, share, most).join(sizes.select(F.col("source").alias("own"), "members"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
@@ -140,13 +150,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     units = docs.join(goals, docs["source"].eqNullSafe(F.col("own"))).select(
         "doc_id", "digest", "place", "source_size", "target", "size", F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("pi"),
-        (F.pmod(F.xxhash64("doc_id", "digest", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)).alias("draw"), F.ceil(F.col("members") / block).alias("blocks"),
+        (F.pmod(F.xxhash64("doc_id", "digest", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)).alias("draw"), "row", F.ceil(F.col("members") / block).alias("blocks"),
     )
     done, n = [], 0
     while True:
         most_blocks = units.agg(F.max("blocks")).first()[0] or 0
         dealt = units.withColumn("block", F.pmod(F.xxhash64("doc_id", "digest", F.lit(n)), "blocks")).drop("blocks")
-        dealt = dealt.repartition(partitions(docs), "place", "block").sortWithinPartitions("place", "block", F.desc("size"), "doc_id", "digest")
+        dealt = dealt.repartition(partitions(docs), "place", "block").sortWithinPartitions("place", "block", F.desc("size"), "doc_id", "digest", "row")
         flown = saved(dealt.mapInArrow(lambda b, last=most_blocks <= 1: _flight(last, LAND if last else max(2, min(LAND, block // 4)), b), _FIELDS))
         if most_blocks <= 1:
             done.append(flown)
@@ -160,7 +170,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     for x in done[1:]:
         out = out.unionByName(x)
     copies = F.col("base") + F.round("pi").cast("int")
-    return out.select("doc_id", "digest", "place", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "digest", "row", "place", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +178,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: rows repeat, or go. Equal rows share their copies in order."""
-    mixed = mix(docs).select(F.col("doc_id").alias("mix_id"), "digest", "size", F.col("copies"))
-    mixed = mixed.withColumn("nth", F.row_number().over(Window.partitionBy("mix_id", "digest").orderBy("copies")))
-    keyed = docs.withColumn("mix_digest", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    keyed = keyed.withColumn("mix_nth", F.row_number().over(Window.partitionBy("doc_id", "mix_digest").orderBy("source")))
-    both = keyed.join(mixed, keyed["doc_id"].eqNullSafe(mixed["mix_id"]) & (keyed["mix_digest"] == mixed["digest"]) & (keyed["mix_nth"] == mixed["nth"]))
-    return both.where("copies > 0").select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "copies")).alias("mix_copy")).select(*docs.columns)
+    """Every document as often as the mix takes it: rows repeat, or go. Rows that are wholly equal add up their copies."""
+    key = ["id", "digest", "row"]
+    copies = mix(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "digest", "row", "copies").groupBy(key).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), id_or_last().alias("id"), _digest(), _row(docs)).groupBy(key).agg(F.any_value("whole").alias("whole"))
+    return rows.join(copies, key).select("whole", F.explode(F.sequence(F.lit(1), "copies"))).select("whole.*")

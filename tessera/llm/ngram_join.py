@@ -14,15 +14,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import load, narrow, partitions, saved, shown_id
+from tessera.llm.frames import id_or_last, load, partitions, saved, shown_id, utf8
 from tessera.llm.graph import components
 
 WORDS, PERCENT, RECALL, TILE = 5, 80, 0.9999, 512
-_SIGNATURE = "id long, d1 long, d2 long, n int, bands array<long>"
+_SIGNATURE = "id long, digest binary, d1 long, d2 long, n int, bands array<long>"
 
 
 def banding(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -72,8 +72,7 @@ def _signatures(k: int, bands: int, rows: int, batches):  # noqa: ANN001, ANN202
     times, plus = (values[: bands * rows] | np.uint64(1)).astype(np.uint32), values[bands * rows :].astype(np.uint32)
     number = K.mix(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        data, off = K.texts_of(batch.column(1))
+        data, off = K.texts_of(batch.column(2))
         for i, j in K.slices(off):
             g, doc = shingle_sets(data, off[i : j + 1], k)
             digest = set_digests(g, doc, j - i)
@@ -89,8 +88,8 @@ def _signatures(k: int, bands: int, rows: int, batches):  # noqa: ANN001, ANN202
                     h = h * K.MULT + column
                 lists.append(K.mix(h).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i:j]), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.diff(bound).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(lists) * bands + 1, bands, dtype=np.int32)), pa.array(np.concatenate(lists)))],
-                names=["id", "d1", "d2", "n", "bands"],
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.diff(bound).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(lists) * bands + 1, bands, dtype=np.int32)), pa.array(np.concatenate(lists)))],
+                names=["id", "digest", "d1", "d2", "n", "bands"],
             )
 
 
@@ -144,18 +143,16 @@ def _verify(k: int, percent: int, batches):  # noqa: ANN001, ANN202
 
     key, held, done = None, [], []
     for batch in batches:
-        meta = list(zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True))
-        data, off = K.texts_of(batch.column(8))
+        meta = list(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True))
+        data, off = K.texts_of(batch.column(6))
         for a, b in K.slices(off):
             g, doc = shingle_sets(data, off[a : b + 1], k)
-            digest = set_digests(g, doc, b - a)
             bound = np.searchsorted(doc, np.arange(b - a + 1))
-            for n, (comp, i, j, block, rep, copies, d1, d2) in enumerate(meta[a:b]):
+            for n, (comp, i, j, block, rep, copies) in enumerate(meta[a:b]):
                 if (comp, i, j) != key:
                     done += _tile(k, percent, held) if len(held) > 1 else []
                     key, held = (comp, i, j), []
-                if (d1, d2) == tuple(digest[n].tolist()):  # of rows that repeat an id, the one that stands for it
-                    held.append((i, j, block, rep, copies, g[bound[n] : bound[n + 1]].copy()))
+                held.append((i, j, block, rep, copies, g[bound[n] : bound[n + 1]].copy()))
             if len(done) >= 4096:
                 yield out(done)
                 done = []
@@ -163,40 +160,54 @@ def _verify(k: int, percent: int, batches):  # noqa: ANN001, ANN202
     yield out(done)
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest doc_id that links lead to) and n_links, the number of
-    other documents with a Jaccard similarity of percent or more.
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """id, digest (MD5 of the text), text and more."""
+    return docs.select(id_or_last().alias("id"), F.unhex(F.md5(utf8())).alias("digest"), utf8().alias("text"), *more)
 
-    Words are lower-cased (A-Z) runs of bytes other than white space. A text of fewer words than a shingle is one
-    shingle; null, empty and blank texts have none, link to nothing and are their own class. Rows that repeat a doc_id
-    are one document; if their texts differ, the one with the smallest set digest stands for it. A null doc_id sorts
-    last and is shown as null. Further columns are ignored; an empty table gives no rows.
-    """
+
+def _classes(docs: DataFrame, words: int, percent: int, recall: float) -> DataFrame:
+    """One row per row of docs: id, digest, class (id), first (digest of the class's first text), n_links. Null class: no shingles."""
     bands, rows = banding(percent / 100, recall)
-    docs = narrow(docs)
+    docs = _keyed(docs)
     signed = saved(docs.mapInArrow(lambda b: _signatures(words, bands, rows, b), _SIGNATURE))
-    one = signed.where("n > 0").groupBy("id").agg(F.min(F.struct("d1", "d2", "bands")).alias("s")).select("id", "s.*")
-    classes = one.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    buckets = classes.select("rep", F.explode("bands").alias("band"))
-    low = buckets.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").drop("high")
-    stars = buckets.join(low, "band").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    full = signed.where("n > 0")
+    # Equal sets are one node; its number is fixed by the checkpoint. Their first holder lends the text.
+    sets = full.select("d1", "d2", "id").distinct().groupBy("d1", "d2").agg(F.count("*").alias("copies"))
+    held = full.groupBy("d1", "d2").agg(F.min(F.struct("id", "digest")).alias("low"), F.any_value("bands").alias("bands"))
+    nodes = saved(sets.join(held, ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()))
+    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    low = buckets.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
+    stars = buckets.join(low, "band").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = saved(components(stars))
     size = near.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    members = near.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = near.join(size, "root").join(nodes.select("node", "copies", "low.id", "low.digest"), "node")
+    texts = docs.join(members.select("id", "digest"), ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.any_value("text").alias("text"))
+    members = members.join(texts, ["id", "digest"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.join(classes.drop("bands"), F.col("node") == F.col("rep")).join(docs, F.col("rep") == F.col("id"))
-    members = members.select(F.col("root").alias("comp"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "d1", "d2", "text")
+    members = members.select(F.col("root").alias("comp"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("node").alias("rep"), "copies", "text")
     tiles = members.repartition(partitions(docs), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     verified = saved(tiles.mapInArrow(lambda b: _verify(words, percent, b), "rep long, links long, root long"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.drop("bands").join(links, "rep", "left").join(roots.withColumnsRenamed({"root": "top"}), F.col("rep") == F.col("node"), "left")
-    by_class = by_class.select("d1", "d2", F.coalesce("top", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    by_id = one.select("id", "d1", "d2").join(by_class, ["d1", "d2"]).select("id", "class", "n_links")
-    out = signed.select("id").join(by_id, "id", "left")
-    return out.select(shown_id("id").alias("doc_id"), shown_id("class").alias("shown"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("class").isNull().alias("alone")).select(
-        "doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("shown")).alias("class_id"), "n_links"
-    )
+    links = verified.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
+    named = roots.join(nodes.select("node", "low"), "node")
+    tops = named.join(named.groupBy("root").agg(F.min("low").alias("top")), "root").select("node", "top")
+    by_set = nodes.drop("bands").join(links, "node", "left").join(tops, "node", "left").withColumn("top", F.coalesce("top", "low"))
+    by_set = by_set.select("d1", "d2", F.col("top.id").alias("class"), F.col("top.digest").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    none = signed.where("n = 0").select("id", "digest", F.lit(None).cast("long").alias("class"), F.lit(None).cast("binary").alias("first"), F.lit(0).cast("long").alias("n_links"))
+    return full.select("id", "digest", "d1", "d2").join(by_set, ["d1", "d2"]).select("id", "digest", "class", "first", "n_links").unionByName(none)
+
+
+def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest doc_id that links lead to) and n_links, the number of
+    other documents with a Jaccard similarity of percent or more.
+
+    Words are lower-cased (A-Z) runs of bytes other than white space. A text of fewer words than a shingle is one
+    shingle; null, empty and blank texts have none, link to nothing and are their own class. A document is a doc_id with
+    a shingle set: rows that repeat both are one, rows that share a doc_id, or have none, with other sets are others and
+    keep their links. A null doc_id sorts last and is shown as null. Further columns are ignored; an empty table gives no rows.
+    """
+    out = _classes(docs, words, percent, recall)
+    return out.select(shown_id("id").alias("doc_id"), F.when(F.col("class").isNull(), shown_id("id")).otherwise(shown_id("class")).alias("class_id"), "n_links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +215,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest doc_id stays."""
-    gone = ngram_join(docs).where("class_id < doc_id or doc_id is null and class_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """Of each class one row stays, of its smallest doc_id (null last); of rows that repeat id and text any. Texts without shingles all stay."""
+    first = _classes(docs, WORDS, PERCENT, RECALL).where("id = class and digest = first").select("id", "digest").distinct()
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = _keyed(docs.where(~blank), F.struct(*docs.columns).alias("row")).drop("text").groupBy("id", "digest").agg(F.any_value("row").alias("row"))
+    return rows.join(first, ["id", "digest"]).select("row.*").unionByName(docs.where(blank))
