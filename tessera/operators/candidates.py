@@ -49,6 +49,11 @@ def _closest(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([max((pair(a, b) for a in set(xs) for b in set(ys)), default=0.0) for xs, ys in zip(left, right, strict=True)], dtype="float64")
 
 
+def title_similarity(a: Column, b: Column) -> Column:
+    """0.65 x Jaccard of the word sets + 0.35 x sequence ratio of the sorted words, without noise; 0 where either has none."""
+    return _closest(F.array(_key(a)), F.array(_key(b)))
+
+
 def _people(names: Column) -> Column:
     return F.concat_ws(" ", names)
 

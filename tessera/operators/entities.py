@@ -1,4 +1,4 @@
-"""Components, canonical members, completeness and state views."""
+"""Canonical members, completeness and state views."""
 
 from __future__ import annotations
 
@@ -9,29 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) from edges (a, b): labels fall to the smallest node by joins, with a checkpoint every round.
-
-    Each round also jumps to the label's label, so rounds grow with the logarithm of the diameter.
-    """
-    sc = edges.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
-    while True:
-        low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("low"))
-        new = labels.join(low, labels["node"] == low["a"], "left").select("node", F.least("root", "low").alias("root"))
-        jump = new.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = new.join(jump, F.col("root") == F.col("at")).select("node", F.col("next").alias("root")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-
-
 def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Last writer wins: each key's row that is greatest by order."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import candidates as C
 from tessera.operators import entities as E
 from tessera.operators import matching as M
 from tessera.plans.registry import query, table
@@ -59,14 +60,9 @@ def problem_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("n_chars > 4000").orderBy("doc_id").limit(100).select("doc_id", F.substring("text", 1, 4000).alias("detail"))
 
 
-@query("""SELECT c_custkey, c_name FROM customer ORDER BY regexp_replace(lower(c_name), '[0-9]+', '#', 'g'), list_transform(regexp_extract_all(c_name, '[0-9]+'), lambda x: CAST(x AS BIGINT)), c_name, c_custkey LIMIT 50""")
-def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").orderBy(*T.natural_keys(F.col("c_name")), "c_custkey").limit(50).select("c_custkey", "c_name")
-
-
 @query("""SELECT c_custkey, c_name, row_number() OVER (ORDER BY regexp_replace(lower(c_name), '[0-9]+', '#', 'g'), list_transform(regexp_extract_all(c_name, '[0-9]+'), lambda x: CAST(x AS BIGINT)), c_name, c_custkey) AS place FROM customer""")
-def natural_rank(spark: SparkSession, d: str) -> DataFrame:
-    """natural_order for every customer. The sorted parts are numbered one after the other, as a window would sort in one task."""
+def natural_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every customer. The sorted parts are numbered one after the other, as a window would sort in one task."""
     rows = table(spark, d, "customer").orderBy(*T.natural_keys(F.col("c_name")), "c_custkey").select("c_custkey", "c_name")
     return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), rows.schema.add("place", "long"))
 
@@ -124,7 +120,7 @@ def supersede(spark: SparkSession, d: str) -> DataFrame:
     return seen.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-_SAFE = r"coalesce(nullif(trim(regexp_replace(regexp_replace({0}, '[<>:\"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')), ''), 'Unknown')"
+_SAFE = r"coalesce(nullif(trim(regexp_replace(regexp_replace({0}, '[<>:\"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g'), ' .'), ''), 'Unknown')"
 
 
 @query(f"""SELECT p_partkey, {_SAFE.format('p_brand')} || '/' || {_SAFE.format('p_type')} || '/' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ' - ' || {_SAFE.format('p_name')} || '/' || {_SAFE.format('p_brand')} || ' - ' || {_SAFE.format('p_name')} || '.m4b' AS path FROM part""")
@@ -147,16 +143,9 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"), F.round(F.max("value"), 6).alias("top"))
 
 
-@query("""SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 40)) ORDER BY n_chars DESC, doc_id) = 1""")
-def keep_best(spark: SparkSession, d: str) -> DataFrame:
-    # the greatest of (n_chars, -doc_id) is aggregated before the shuffle; a window would sort whole groups
-    best = table(spark, d, "documents").groupBy(F.lower(F.substring("text", 1, 40)).alias("key")).agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"))).alias("best"))
-    return best.select((-F.col("best.minus")).alias("doc_id"), F.col("best.n_chars").alias("n_chars"))
-
-
 @query("""SELECT doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY n_chars DESC, doc_id) = 1""")
-def keep_best_text(spark: SparkSession, d: str) -> DataFrame:
-    """keep_best by whole texts in lower case, so that no text goes for its opening."""
+def keep_best(spark: SparkSession, d: str) -> DataFrame:
+    """The fullest of the documents with one text in lower case. (n_chars, -doc_id) is aggregated before the shuffle."""
     best = table(spark, d, "documents").groupBy(F.sha2(F.lower("text"), 256).alias("key")).agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"))).alias("best"))
     return best.select((-F.col("best.minus")).alias("doc_id"), F.col("best.n_chars").alias("n_chars"))
 
@@ -189,10 +178,12 @@ def review_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours in name order within a brand, by token sets and the longest matching blocks of the sorted tokens."""
-    after = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_name", "p_partkey"))
-    pairs = table(spark, d, "part").select("p_partkey", "p_name", after.alias("after")).where("after is not null")
-    return pairs.select("p_partkey", F.round(T.similarity(F.col("p_name"), F.col("after")), 6).alias("similarity"))
+    """All titles of a brand and size that share half of the shorter one's tokens, by token sets and matching blocks."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name", T.tokens(F.col("p_name")).alias("t"))
+    pairs = M.contained_pairs(part.drop("p_name"), "p_partkey", ["p_brand", "p_size"], "t", 0.5).select("a_key", "b_key")
+    named = lambda side: part.select(F.col("p_partkey").alias(f"{side}_key"), F.col("p_name").alias(f"{side}_name"))
+    both = pairs.join(named("a"), "a_key").join(named("b"), "b_key")
+    return both.select("a_key", "b_key", F.round(C.title_similarity(F.col("a_name"), F.col("b_name")), 6).alias("similarity"))
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import entities as E
 from tessera.operators import matching as M
+from tessera.operators.components import components
 from tessera.plans.registry import query, table
 
 
@@ -56,14 +57,9 @@ def size_by_class(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(kind.alias("class")).agg(F.count("*").alias("members"), F.sum("n_chars").alias("chars"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(substr(text, 1, 80)), '[\p{L}\p{N}]+'))), ' ') AS title_key FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))), ' ') AS title_key FROM documents""")
 def title_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.title_key(F.substring("text", 1, 80)).alias("title_key"))
-
-
-@query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'))), ' ') AS title_key FROM part""")
-def name_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("title_key"))
+    return table(spark, d, "documents").select("doc_id", T.title_key(F.col("text")).alias("title_key"))
 
 
 _TOKENS = r"list_distinct(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+'))"
@@ -78,21 +74,24 @@ def token_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.contained_pairs(p, "p_partkey", ["p_brand", "p_size"], "t", 0.5).select("a_key", "b_key", F.round("containment", 6).alias("containment"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS a, l_suppkey % 7 + 1000 + (l_orderkey % 500) // 10 * 10 AS b FROM lineitem),
-x AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-c(node, root) AS (SELECT a, a FROM x UNION SELECT x.b, c.root FROM c JOIN x ON c.node = x.a WHERE c.root <= x.b)
-SELECT node, min(root) AS root FROM c GROUP BY node""")
+@query("""WITH g AS (SELECT text, lang, min(doc_id) AS root, count(*) AS n FROM documents GROUP BY text, lang)
+SELECT doc_id AS node, root FROM documents JOIN g USING (text, lang) WHERE n > 1""")
 def entity_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem")
-    node = F.col("l_orderkey") % 500
-    return E.components(rows.select(node.alias("a"), (F.col("l_suppkey") % 7 + 1000 + F.floor(node / 10) * 10).alias("b")).distinct())
+    """Documents that copies link, each to the next smaller id of its text and language among its thousand, and to the smallest of all."""
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("text"), "lang")
+    near = Window.partitionBy("text", "lang", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id")
+    chain = docs.select("doc_id", F.lag("doc_id").over(near).alias("before"))
+    first = docs.groupBy("text", "lang", F.floor(F.col("doc_id") / 1000)).agg(F.min("doc_id").alias("low"))
+    low = E.with_group(first.select("text", "lang", "low"), ["text", "lang"], top=F.min("low"))
+    edges = chain.where("before is not null").select(F.col("doc_id").alias("a"), F.col("before").alias("b"))
+    return components(edges.unionByName(low.where("low > top").select(F.col("low").alias("a"), F.col("top").alias("b"))))
 
 
 @query()
 def order_components(spark: SparkSession, d: str) -> DataFrame:
     """Orders that suppliers link, over all rows; a supplier's node is -1 - l_suppkey. Recursive SQL is too slow for it."""
     rows = table(spark, d, "lineitem").where("l_orderkey is not null and l_suppkey is not null")
-    return E.components(rows.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct())
+    return components(rows.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct())
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -101,9 +100,9 @@ def missing_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'untracked' ELSE 'current' END AS state
-FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
+FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
 def label_trichotomy(spark: SparkSession, d: str) -> DataFrame:
-    return E.trichotomy(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "labels"), "doc_id")
+    return E.trichotomy(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
 @query("""SELECT v.status, count(x.status) AS n FROM (VALUES ('confirm'), ('reject'), ('defer'), ('unreviewed')) v(status)
@@ -116,11 +115,11 @@ def decision_status(spark: SparkSession, d: str) -> DataFrame:
     return names.join(counted, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("""WITH k AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' OR turn % 3 = 0)
+@query("""WITH k AS (SELECT conv_id, turn FROM conversations)
 SELECT conv_id, count(turn) AS members, max(turn) + 1 - count(DISTINCT turn) AS missing, count(turn) - count(DISTINCT turn) AS repeated,
 max(turn) + 1 = count(DISTINCT turn) AND count(turn) = count(DISTINCT turn) AS complete FROM k GROUP BY conv_id""")
 def sequence_completeness(spark: SparkSession, d: str) -> DataFrame:
-    return E.completeness(table(spark, d, "conversations").where("role = 'user' or turn % 3 = 0"), "conv_id", "turn")
+    return E.completeness(table(spark, d, "conversations"), "conv_id", "turn")
 
 
 @query("""SELECT conv_id, turn, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS start_at, CAST(sum(length(text)) OVER w AS BIGINT) AS end_at

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import candidates as C
 from tessera.operators import lineage as L
+from tessera.operators import matching as M
 from tessera.operators import shelves as S
 from tessera.plans.registry import query, table
 
 
-@query("""WITH f AS (SELECT doc_id % 400 AS group_key, doc_id % 7 = 0 AS whole, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS bad FROM documents),
+@query("""WITH f AS (SELECT doc_id // 3 AS group_key, doc_id % 7 = 0 AS whole, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS bad FROM documents),
 g AS (SELECT group_key, count(*) AS n, count(*) FILTER (whole) AS w, bool_or(bad) AS bad FROM f GROUP BY 1)
 SELECT group_key, CASE WHEN bad THEN 'needs_attention' WHEN n = 1 AND w = 1 THEN 'existing_m4b' WHEN n = 1 THEN 'single_conversion' WHEN w = 0 THEN 'multipart_conversion' WHEN w = 1 THEN 'mixed_with_m4b' ELSE 'ambiguous' END AS class FROM g""")
 def catalog_class(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".m4b").otherwise(".mp3"))
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 400).alias("group_key"), path.alias("relative_path"))
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("group_key"), path.alias("relative_path"))
     bad = table(spark, d, "labels").where("quality = 0").select("doc_id").distinct().withColumn("error", F.lit("bad"))
     return S.catalog_classes(docs, docs.join(bad, "doc_id", "left"))
 
@@ -42,26 +44,28 @@ def represented_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def candidate_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Each part's title against the next two in the name order of its brand."""
-    order = Window.partitionBy("p_brand").orderBy("p_name", "p_partkey")
+    """Each part's title against all of its brand and size that share half of the shorter one's tokens, in key order."""
+    part = table(spark, d, "part")
+    pairs = M.contained_pairs(part.select("p_partkey", "p_brand", "p_size", T.tokens(F.col("p_name")).alias("t")), "p_partkey", ["p_brand", "p_size"], "t", 0.5)
+    pairs = pairs.select("a_key", "b_key").unionByName(pairs.select(F.col("b_key").alias("a_key"), F.col("a_key").alias("b_key")))
     none = F.lit(None).cast("string")
-    book = lambda name: F.struct(name.alias("title"), F.array("p_brand").alias("authors"), F.lit("").alias("series"), none.alias("isbn"), F.lit(None).cast("double").alias("runtime_minutes"), F.array().cast("array<string>").alias("narrators"))
-    further = [none.alias(n) for n in ("cover_url", "description", "publisher")]
-    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", F.array(F.lead("p_name", 1).over(order), F.lead("p_name", 2).over(order)).alias("others"))
-    rows = rows.select("p_partkey", "p_brand", "p_name", F.posexplode("others").alias("place", "other")).where("other is not null")
-    pairs = rows.select("p_partkey", "place", book(F.col("p_name")).alias("hint"), F.struct(book(F.col("other")).alias("b"), *further).alias("c"))
-    candidate = F.struct("c.b.*", "c.cover_url", "c.description", "c.publisher")
-    return C.chosen(pairs.select("p_partkey", "place", "hint", candidate.alias("candidate")), "p_partkey", "place").select("p_partkey", "score", "lead", "wins")
+    book = F.struct(F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.lit("").alias("series"), none.alias("isbn"), F.lit(None).cast("double").alias("runtime_minutes"), F.array().cast("array<string>").alias("narrators"))
+    fields = [F.col(f"book.{n}") for n in ("title", "authors", "series", "isbn", "runtime_minutes", "narrators")] + [none.alias(n) for n in ("cover_url", "description", "publisher")]
+    books = part.select("p_partkey", book.alias("book"))
+    hints = books.select(F.col("p_partkey").alias("a_key"), F.col("book").alias("hint"))
+    candidates = books.select(F.col("p_partkey").alias("b_key"), F.struct(*fields).alias("candidate"))
+    rows = pairs.join(hints, "a_key").join(candidates, "b_key").select(F.col("a_key").alias("p_partkey"), F.col("b_key").alias("place"), "hint", "candidate")
+    return C.chosen(rows, "p_partkey", "place").select("p_partkey", "score", "lead", "wins")
 
 
-@query("""WITH p AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 6))) AS s FROM lineitem WHERE l_linenumber > 1 GROUP BY 1),
+@query("""WITH p AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18, 6))) AS s FROM lineitem GROUP BY 1),
 t AS (SELECT l_orderkey, n, CAST(s AS DOUBLE) AS s, CAST(s AS DOUBLE) + l_orderkey % 40 AS d, CASE WHEN l_orderkey % 3 = 0 THEN n ELSE 0 END AS chapters FROM p WHERE n >= 2),
 e AS (SELECT *, d - s AS gap, (d - s) / greatest(d, 1) AS share FROM t),
 f AS (SELECT l_orderkey, (share > 0.03)::INT + (chapters <> n)::INT AS conflicts, 17 + CASE WHEN chapters = n THEN 25 ELSE 0 END
  + CASE WHEN gap <= 1 THEN 50 WHEN gap <= 5 THEN 47 WHEN gap <= 30 THEN 42 WHEN share <= 0.005 THEN 36 WHEN share <= 0.01 THEN 28 WHEN share <= 0.03 THEN 16 ELSE 0 END AS points FROM e)
 SELECT l_orderkey, points - 4 * conflicts AS score, conflicts FROM f WHERE points - 4 * conflicts >= 50""")
 def combined_lineage(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_linenumber > 1").select("l_orderkey", "l_linenumber", "l_quantity")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     parts = lines.select(F.col("l_orderkey").alias("group_key"), F.format_string("Book/%02d.mp3", "l_linenumber").alias("relative_path"), F.col("l_quantity").alias("duration"), F.lit(0).alias("chapters"))
     sums = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("s"), F.count("*").cast("int").alias("n"))
     whole = sums.select(F.col("l_orderkey").alias("group_key"), F.lit("Book/Book.m4b").alias("relative_path"), (F.col("s") + F.col("l_orderkey") % 40).alias("duration"), F.when(F.col("l_orderkey") % 3 == 0, F.col("n")).otherwise(0).alias("chapters"))

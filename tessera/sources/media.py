@@ -24,14 +24,16 @@ def is_candidate(path: Column, head: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relative_path, size, modified) of the candidates below root. Content is read of files without a suffix alone.
+    """(path, relative_path, size, modified) of the candidates below root; relative_path is spelled as the file system does.
 
-    Spark's listing leaves out names that start with _ or a dot.
+    Content is read of files without a suffix alone. Spark's listing leaves out names that start with _ or a dot.
     """
     files = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     named = files("*.*").where(suffix(F.col("path")).isin(*SUFFIXES)).select("path", "length", "modificationTime")
     bare = files("*").where(suffix(F.col("path")) == "").where(is_candidate(F.col("path"), F.col("content"))).select("path", "length", "modificationTime")
-    relative = F.regexp_replace("path", "^.*?" + _quoted(root.split("://")[-1].rstrip("/")) + "/", "")
+    # the path column is a URI: its escapes are undone, a plus sign is none of them
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    relative = F.regexp_replace(path, "^.*?" + _quoted(root.split("://")[-1].rstrip("/")) + "/", "")
     return named.unionByName(bare).select("path", relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -56,8 +58,20 @@ def parse_probe(reports: DataFrame, column: str) -> DataFrame:
     return found.withColumn("error", error).withColumn("probe", F.when(F.col("error").isNull(), probe)).drop("report_", "audio_", "chapters_")
 
 
+#: Names of folders that hold one disc or part.
+DISC_FOLDER = r"(?i)^(?:(?:cd|disc|disk|part)[ _.-]*\d+|\(?\d+\s*(?:of|/)\s*\d+\)?)$"
+
+
+def directory(path: Column) -> Column:
+    """The part of a path before its last slash; empty where there is none."""
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def last_part(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
 def group_directory(relative_path: Column) -> Column:
-    """A file's directory, or the one above where that is a disc's (CD 1, Disc 2, Disk 3)."""
-    folder = F.regexp_extract(relative_path, "^(.*)/[^/]*$", 1)
-    disc = F.lower(F.element_at(F.split(folder, "/"), -1)).rlike(r"^(cd|disc|disk)\s*[-_]?\s*[0-9]+$")
-    return F.when(disc, F.regexp_extract(folder, "^(.*)/[^/]*$", 1)).otherwise(folder)
+    """A file's directory, or the one above where that is a disc's or part's (CD 1, Disc.2, Part 3, (1 of 3))."""
+    folder = directory(relative_path)
+    return F.when(last_part(folder).rlike(DISC_FOLDER), directory(folder)).otherwise(folder)

@@ -1,10 +1,12 @@
 """Sources, sinks, the event-log stream and the functions that SQL cannot express."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import candidates
 from tessera.plans import registry
 from tessera.sources import media, sinks
 from tessera.streaming import event_log
@@ -12,10 +14,10 @@ from tessera.streaming import event_log
 
 def test_scan(spark, tmp_path):
     (tmp_path / "a b").mkdir()
-    for name, body in {"x.MP3": b"1", "bare": b"\0\0\0\x18ftypM4A ", "a b/y.m4b": b"22", "note.txt": b"ID3", "plain": b"hello", "id": b"ID3\x04"}.items():
+    for name, body in {"x.MP3": b"1", "bare": b"\0\0\0\x18ftypM4A ", "a b/y.m4b": b"22", "a b/100% ü+.mp3": b"3", "note.txt": b"ID3", "plain": b"hello", "id": b"ID3\x04"}.items():
         (tmp_path / name).write_bytes(body)
     found = media.scan(spark, str(tmp_path)).collect()
-    assert sorted((r.relative_path.replace("%20", " "), r.size) for r in found) == [("a b/y.m4b", 2), ("bare", 12), ("id", 4), ("x.MP3", 1)]
+    assert sorted((r.relative_path, r.size) for r in found) == [("a b/100% ü+.mp3", 1), ("a b/y.m4b", 2), ("bare", 12), ("id", 4), ("x.MP3", 1)]
 
 
 def test_probe(spark):
@@ -28,8 +30,8 @@ def test_probe(spark):
 
 
 def test_group_directory(spark):
-    paths = spark.createDataFrame([("A/B/CD1/1.mp3",), ("A/B/disc 02/1.mp3",), ("A/B/1.mp3",), ("1.mp3",)], "p string")
-    assert [r[0] for r in paths.select(media.group_directory(F.col("p"))).collect()] == ["A/B", "A/B", "A/B", ""]
+    paths = spark.createDataFrame([("A/B/CD1/1.mp3",), ("A/B/disc 02/1.mp3",), ("A/B/1.mp3",), ("1.mp3",), ("A/B/Part 1/x.mp3",), ("A/B/CD.1/x.mp3",), ("A/B/(1 of 3)/x.mp3",), ("A/B/Partly 1/x.mp3",)], "p string")
+    assert [r[0] for r in paths.select(media.group_directory(F.col("p"))).collect()] == ["A/B", "A/B", "A/B", "", "A/B", "A/B", "A/B", "A/B/Partly 1"]
 
 
 def test_sinks(spark, tmp_path):
@@ -60,7 +62,26 @@ def test_windowed_counts(spark, tmp_path):
 
 def test_text(spark):
     pairs = spark.createDataFrame([("The Way of Kings", "the way of kings"), ("Dune", "Emma"), (None, "x"), ("Straße ﬁn", "a")], "a string, b string")
-    got = pairs.select(T.normalized(F.col("a")), T.similarity(F.col("a"), F.col("b"))).collect()
+    got = pairs.select(T.normalized(F.col("a")), candidates.title_similarity(F.col("a"), F.col("b"))).collect()
     assert got[0][1] == 1.0 and 0 <= got[1][1] < 0.35 and got[2] == (None, 0.0) and got[3][0] == "strasse fin"
     for name in ("title_similarity", "normalized_titles"):
-        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_digests_tell_null_from_nothing(spark):
+    row = spark.range(1).select(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b"), F.struct(F.lit(None).cast("int").alias("x")).alias("c"))
+    digests = row.select(T.json_digest(a=F.col("a")), T.json_digest(a=F.col("a"), b=F.col("b")), T.json_digest(a=F.col("a"), c=F.col("c"))).first()
+    assert len(set(digests)) == 3
+    assert digests[1] == hashlib.sha256(b'{"a":1,"b":null}').hexdigest() and digests[2] == hashlib.sha256(b'{"a":1,"c":{"x":null}}').hexdigest()
+
+
+def test_names(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.safe_name(F.lit(" ..A/B?  c. "))) == "A B c" and one(T.safe_name(F.lit("..."))) == "Unknown" and one(T.safe_name(F.lit(None).cast("string"))) == "Unknown"
+    assert one(T.safe_name(F.lit("x" * 159 + " yz"))) == "x" * 159
+    assert one(T.output_path(F.lit("Frank Herbert"), F.lit("Dune"), F.lit("2"), F.lit("Dune: Messiah"), "m4b")) == "Frank Herbert/Dune/02 - Dune Messiah/Frank Herbert - Dune Messiah.m4b"
+    assert one(T.output_path(F.lit("A: Writer"), F.lit(None).cast("string"), F.lit("2"), F.lit("A/B?"), "m4b")) == "A Writer/A B/A Writer - A B.m4b"
+    names = spark.createDataFrame([("J.R.R.  Tolkien",), ("JOSÉ Ｗ",), (None,)], "n string")
+    assert [tuple(r) for r in names.select(T.person_key("n"), T.display_key("n"), T.compact_key("n")).collect()] == [("j r r tolkien", "j.r.r. tolkien", "jrrtolkien"), ("josé w", "josé w", "joséw"), (None, None, None)]
+    spelled = spark.createDataFrame([("JAMES S. A. COREY",), ("james s. a. corey",), ("James S. A. Corey",), ("James S.A. Corey",)], "n string")
+    assert spelled.orderBy(F.desc(T.spelling_rank(F.col("n")))).first().n == "James S. A. Corey"
