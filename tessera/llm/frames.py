@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import NO_ID
+from tessera.operators.shared import saved
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, which all executors share. Only where that is unset (tests) a local one is taken."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+def small(df: DataFrame, size: Column, limit: int = 16 << 20) -> DataFrame:
+    """A saved df, marked for broadcast if the sum of size over its rows, measured, is within the limit in bytes."""
+    df = saved(df)
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else df
 
 
 def partitions(df: DataFrame) -> int:

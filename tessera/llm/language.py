@@ -1,32 +1,32 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-Bytes are embedded, read forwards and backwards by gated recurrent units, and every position gets a softmax over the
-languages. The network reads runs between white space, at most SPAN bytes at a time, from a
-zero state; so a position's label depends on its run alone, and a run that occurs again, in any document, is read from
-a bounded cache and not computed anew. A document's probabilities are the mean over all its positions.
+Bytes, blanks included, are embedded, read forwards and backwards by gated recurrent units, and every position gets a
+softmax over the languages. Texts are read in windows of SPAN bytes with CONTEXT bytes more on either side, cut between
+characters: the states run through words, blanks and lines, and each position is labelled once, with what stands around it.
+A document's probabilities are the mean over all its positions.
 
 Training is backpropagation through time in numpy with Adam, on a bounded sample: FIT_DOCS documents of each language,
-chosen by hash, of at most FIT_BYTES bytes each.
+chosen by hash, of each a piece of FIT_CHARS characters at most, somewhere in its text.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
-import time
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import kernels as K
 from tessera.llm.frames import load, utf8
 
-SPAN, EMBED, HIDDEN = 24, 8, 8
-FIT_DOCS, FIT_BYTES, STEPS, BATCH, RATE = 250, 20_000, 400, 256, 0.015
-CACHE_RUNS = 300_000
+SPAN, CONTEXT, EMBED, HIDDEN = 256, 16, 8, 8
+FIT_DOCS, FIT_CHARS, FIT_SPAN, STEPS, BATCH, RATE = 250, 2000, 48, 800, 128, 0.015
+#: Windows that are read at once.
+ROWS = 1024
 UNKNOWN, LEAST = "und", 0.3
 
 
@@ -58,20 +58,22 @@ class Reader:
             zr *= np.float32(0.5)
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
             c = squash(a[:, 2 * HIDDEN :] + (r * h) @ p[f"{d}c"])
-            if keep:
+            if mask is not None:
                 z = z * mask[:, i, None]
+            if keep:
                 memo.append((h, z, r, c))
             h = h + z * (c - h)
             out[:, i] = h
         return out, memo
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(n, t, languages) for runs of one length."""
-        f, _ = self._pass("f", x, None, False)
-        b, _ = self._pass("b", x[:, ::-1], None, False)
-        y = np.concatenate((f, b[:, ::-1]), axis=2) @ self.p["o"] + self.p["ob"]
-        y = np.exp(y)  # states are within 1, so this stays small
-        return y / (y @ np.ones((y.shape[2], 1), np.float32))
+    def probabilities(self, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+        """(n, t, languages) for windows of t bytes; where the mask is 0 nothing is read."""
+        f, _ = self._pass("f", x, mask, False)
+        b, _ = self._pass("b", x[:, ::-1], None if mask is None else mask[:, ::-1], False)
+        y = f @ self.p["o"][:HIDDEN] + b[:, ::-1] @ self.p["o"][HIDDEN:] + self.p["ob"]
+        np.exp(y, out=y)  # states are within 1, so this stays small
+        y /= y @ np.ones((y.shape[2], 1), np.float32)
+        return y
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss a position and its gradient, by backpropagation through time. y: each run's language."""
@@ -141,90 +143,81 @@ def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, inside.astype(np.float32)
 
 
-def runs_of(text: bytes) -> list[bytes]:
-    """The text's runs between white space; long ones in pieces of SPAN bytes."""
-    out = text.split()
-    if len(max(out, key=len, default=b"")) > SPAN:
-        out = [r[i : i + SPAN] for r in out for i in range(0, len(r), SPAN)]
-    return out
-
-
-class Pool:
-    """Sums of position probabilities of runs, computed in batches by length and kept for CACHE_RUNS runs."""
-
-    def __init__(self, net: Reader) -> None:
-        self.net, self.at = net, {}
-        self.sums = np.zeros((1024, len(net.langs) + 1))
-
-    def add(self, runs: Iterable[bytes]) -> None:
-        """Reads the new ones among runs, those of one length together."""
-        by_size: dict[int, list[bytes]] = {}
-        for r in set(runs).difference(self.at):
-            by_size.setdefault(len(r), []).append(r)
-        for size, new in sorted(by_size.items()):
-            for i in range(0, len(new), 1024):
-                part = new[i : i + 1024]
-                x = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size)
-                n = len(self.at)
-                while n + len(part) > len(self.sums):
-                    self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-                self.sums[n : n + len(part), :-1] = self.net.probabilities(x).sum(axis=1)
-                self.sums[n : n + len(part), -1] = size
-                self.at.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def of(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Mean probabilities over all positions, a row a text; every text has a run."""
-        ids = list(map(self.at.get, itertools.chain.from_iterable(texts)))
-        if None in ids:
-            self.add(itertools.chain.from_iterable(texts))
-            ids = list(map(self.at.get, itertools.chain.from_iterable(texts)))
-        bound = np.cumsum([0, *map(len, texts[:-1])])
-        total = np.add.reduceat(self.sums[np.array(ids)], bound)
-        return total[:, :-1] / total[:, -1:]
-
-    def trim(self) -> None:
-        if len(self.at) > CACHE_RUNS:
-            self.at, self.sums = {}, np.zeros((1024, self.sums.shape[1]))
+def windows_of(text: bytes, span: int = SPAN, context: int = CONTEXT) -> list[tuple[int, int, int, int]]:
+    """(first byte read, first labelled, end of the labelled, end of the read), between characters."""
+    def between(at: int) -> int:
+        while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    cuts = [0]
+    while len(text) - cuts[-1] > span:
+        at = between(cuts[-1] + span)
+        cuts.append(at if at > cuts[-1] else cuts[-1] + span)  # bytes that are no UTF-8 may have no such place
+    cuts.append(len(text))
+    return [(between(max(0, a - context)), a, b, between(min(len(text), b + context))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def read(net: Reader, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, first byte, probabilities of the positions from there on) for every window; windows of like length are read together."""
+    windows = [(d - a, n, a, b, c, d) for n, t in enumerate(texts) if t for a, b, c, d in windows_of(t)]
+    windows.sort()
+    for i in range(0, len(windows), ROWS):
+        part = windows[i : i + ROWS]
+        x, mask = padded([texts[n][a:d] for _, n, a, _, _, d in part])
+        p = net.probabilities(x, None if part[0][0] == part[-1][0] else mask)
+        for row, (_, n, a, b, c, _) in zip(p, part, strict=True):
+            yield n, b, row[b - a : c - a]
+
+
+def pooled(net: Reader, texts: list[bytes]) -> np.ndarray:
+    """Mean probabilities over all positions, a row a text; empty texts have zeros."""
+    out = np.zeros((len(texts), len(net.langs)))
+    for n, _, p in read(net, texts):
+        out[n] += p.sum(axis=0)
+    return out / np.array([max(1, len(t)) for t in texts])[:, None]
 
 
 def spans_of(net: Reader, text: bytes) -> list[dict]:
-    """Labels of all positions, as maximal spans (start, end, lang); white space goes with the run behind it."""
-    out: list[dict] = []
-    for m in re.finditer(rb"\s*\S+\s*\Z|\s*\S+", text):
-        gap = len(m[0]) - len(m[0].lstrip())
-        word, labels = m[0].strip(), []
-        for i in range(0, len(word), SPAN):
-            labels += net.probabilities(np.frombuffer(word[i : i + SPAN], np.uint8)[None])[0].argmax(axis=1).tolist()
-        labels = [labels[0]] * gap + labels + [labels[-1]] * (len(m[0]) - gap - len(word))
-        for i, k in enumerate(labels, m.start()):
-            if out and out[-1]["lang"] == net.langs[k] and out[-1]["end"] == i:
-                out[-1]["end"] = i + 1
-            else:
-                out.append({"start": i, "end": i + 1, "lang": net.langs[k]})
-    return out
-
-
-def train(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, steps: int = STEPS) -> Reader | None:
+    """Labels of all positions, as maximal spans (start, end, lang)."""
+    if not text:
+        return []
+    labels = np.empty(len(text), np.int64)
+    for _, at, p in read(net, [text]):
+        labels[at : at + len(p)] = p.argmax(axis=1)
+    first = K.runs(labels).tolist()
+    return [{"start": a, "end": b, "lang": net.langs[labels[a]]} for a, b in zip(first, [*first[1:], len(text)], strict=True)]
+
+
+def train(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, steps: int = STEPS) -> Reader | None:
     """A network from documents with text, lang and doc_id; None if none has a language and a letter.
 
-    Of each language the fit_docs documents with the smallest hash among those of at most fit_bytes bytes are taken.
+    Of each language the fit_docs documents with the smallest hash are taken, whatever their length, and of each a piece
+    of fit_chars characters that begins at a place drawn by the hash.
     """
     from pyspark.sql import Window
 
-    usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")) & (F.octet_length("text") <= fit_bytes))
-    marked = usable.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("draw"))
+    usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    draw = F.xxhash64("doc_id", "lang")
+    marked = usable.select("doc_id", "lang", draw.alias("draw"))
     chosen = marked.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("nth") <= fit_docs).select("doc_id", "lang").distinct()
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").distinct().collect()
+    begin = F.pmod(draw, F.greatest(F.length("text") - fit_chars + 1, F.lit(1)).cast("long")).cast("int")
+    picked = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.substring("text", begin + 1, F.lit(fit_chars)).alias("text"))
+    # rows that repeat a chosen id are as bounded as the ids: the first two of each by text
+    picked = picked.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("nth") <= 2 * fit_docs)
+    rows = sorted((r.lang, r.text) for r in picked.collect())
     if not rows:
         return None
-    langs = sorted({r.lang for r in rows})
+    langs = sorted({lang for lang, _ in rows})
     runs, own = [], []
-    for r in sorted(rows):
-        new = [x for x in runs_of(r.text.encode()) if re.search(rb"[A-Za-z\x80-\xff]", x)]
+    for lang, text in rows:
+        raw = text.encode()
+        new = [x for a, _, _, d in windows_of(raw, FIT_SPAN, 0) for x in [raw[a:d]] if re.search(rb"[A-Za-z\x80-\xff]", x)]
         runs += new
-        own += [langs.index(r.lang)] * len(new)
+        own += [langs.index(lang)] * len(new)
     net = Reader(langs)
-    net.fit(runs, np.array(own), steps)
+    if runs:
+        net.fit(runs, np.array(own), steps)
     return net
 
 
@@ -232,44 +225,30 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-_pools: dict[str, Pool] = {}
-
-
 def identify(docs: DataFrame, net: Reader | None, spans: bool = False) -> DataFrame:
     """docs with lang_pred and score (mean probability, 0 to 1); with spans, the labels of all positions as well.
 
     Texts that are null or have no letter are `und` with score 0, and so is everything where there is no network. The
-    columns lang_pred, score and lang_spans must not be there before. Only the text decides.
+    columns lang_pred, score and lang_spans must not be there before. Only the text decides: repeated rows give repeated
+    results; an empty table gives no rows.
     """
-    from pyspark.sql.types import StructType
-
     shape = "lang_pred string, score double" + (", lang_spans array<struct<start:long,end:long,lang:string>>" if spans else "")
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    name = f"{id(net)}-{time.time_ns()}"
-    inner = docs.withColumns({"tessera_raw": utf8(), "tessera_ok": has_letter(F.col("text"))})
     names = docs.columns
     width = len(names)
+    inner = docs.select(*(F.col(f"`{c}`") for c in names), utf8(), has_letter(F.col("text")))
 
     def run(batches):  # noqa: ANN001, ANN202
         net = sent.value
-        if name not in _pools:
-            _pools.clear()
-            _pools[name] = Pool(net) if net else None
-        pool = _pools[name]
         for batch in batches:
             lang, score, labels = [], [], []
             raw, ok = batch.column(width), batch.column(width + 1).to_pylist()
             for i, j in K.slices(K.texts_of(raw)[1]):
                 texts = [raw[n].as_py() if ok[n] and net else b"" for n in range(i, j)]
-                runs = [runs_of(t) for t in texts]
-                full = [n for n, own in enumerate(runs) if own]
-                p = dict(zip(full, pool.of([runs[n] for n in full]), strict=True)) if full else {}
-                for n, text in enumerate(texts):
-                    lang.append(net.langs[int(p[n].argmax())] if n in p else UNKNOWN)
-                    score.append(round(float(min(1, p[n].max())), 5) if n in p else 0.0)
-                    labels.append(spans_of(net, text) if spans and n in p else [])
-                if pool:
-                    pool.trim()
+                for text, p in zip(texts, pooled(net, texts) if net else texts, strict=True):
+                    lang.append(net.langs[int(p.argmax())] if text else UNKNOWN)
+                    score.append(round(float(min(1, p.max())), 5) if text else 0.0)
+                    labels.append(spans_of(net, text) if spans and text else [])
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 new.append(pa.array(labels, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
@@ -289,6 +268,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose best language has a mean probability under LEAST."""
-    found = identify(docs, train(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST)).select(*docs.columns)
+    """Rejects documents without letters and those whose best language has a mean probability under LEAST.
+
+    Where no document has a language there is no network, and all documents with letters stay.
+    """
+    net = train(docs)
+    if net is None:
+        return docs.where(has_letter(F.col("text")))
+    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), net)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST)).select("row.*")

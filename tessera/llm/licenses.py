@@ -1,37 +1,26 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Main path: DataFrame expressions alone. Headers are lines, licence files whole texts; of each file the best-scoring unit
-counts. scan compares with several templates a license (WHOLE: licence bodies, standard headers and short notices),
-its units are lines, runs of up to PARAGRAPHS adjacent paragraphs and whole texts, and the first identifier of an SPDX
-line counts with cosine 1 if it names one of the licenses. Vectors live in the templates' vocabulary: a term's weight is (1 + ln count) x ln((1 + files) / (1 + files with
-the term)), with file counts over all files. A directory's license is that of its licensed file with the smallest path;
-a file without one takes that of the nearest directory above it.
+Main path: DataFrame expressions alone. Units are lines, runs of up to PARAGRAPHS adjacent paragraphs and whole texts; each
+is compared with several templates a license: bodies of the short licences, telling paragraphs of the long ones, standard headers,
+titles and short notices. Of each file the best unit counts, and the first identifier of an SPDX line counts with
+cosine 1 if it names one of the licenses. Vectors live in the templates' vocabulary: a term's weight is (1 + ln count) x
+ln((1 + files) / (1 + files with the term)), with file counts over all files. Units are spelled out where the terms of
+the whole text let some unit reach the least cosine; that bound loses none. A directory's license is that of its licensed
+file with the smallest path; a file without one takes that of the nearest directory above it, the root included.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.frames import load
+from tessera.llm.frames import load, small
 
-#: Short headers of common licenses, by SPDX name.
-TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products. BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. The Unlicense.",
-}
-#: A text without any of these is not looked at unit by unit. Every template must hold one.
-MARKS = ("licen", "copyright", "spdx", "permi", "redistribut", "unencumbered")
 LEAST = 0.7
 PARAGRAPHS = 6
 _SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([a-z0-9.-]*[a-z0-9])"
@@ -51,21 +40,23 @@ def _gnu(title: str, version: str, date: str) -> list[str]:
     return [head, head + _GNU_REST.format(title), f"GNU {title.upper()} Version {version}, {date}", f"This work is licensed under the GNU {title}, version {version}."]
 
 
-#: The templates that scan compares with by default.
-WHOLE = {
-    "AGPL-3.0": _gnu("Affero General Public License", "3", "19 November 2007"),
-    "Apache-2.0": [TEMPLATES["Apache-2.0"], _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
-    "BSD-2-Clause": [_BSD.format(""), "BSD 2-Clause License."],
-    "BSD-3-Clause": [TEMPLATES["BSD-3-Clause"], _BSD.format(_THIRD), "BSD 3-Clause License."],
-    "CC-BY-4.0": [TEMPLATES["CC-BY-4.0"], "Creative Commons Attribution 4.0 International"],
-    "CC-BY-NC-4.0": [TEMPLATES["CC-BY-NC-4.0"], "Creative Commons Attribution-NonCommercial 4.0 International"],
-    "GPL-2.0": _gnu("General Public License", "2", "June 1991"),
-    "GPL-3.0": _gnu("General Public License", "3", "29 June 2007"),
-    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "February 1999"),
-    "LGPL-3.0": _gnu("Lesser General Public License", "3", "29 June 2007"),
-    "MIT": [TEMPLATES["MIT"], _MIT, "Licensed under the MIT license."],
-    "MPL-2.0": [TEMPLATES["MPL-2.0"], _MPL, "Mozilla Public License Version 2.0"],
-    "Unlicense": [TEMPLATES["Unlicense"], _UNLICENSE],
+#: Licence texts by SPDX name.
+TEMPLATES = {
+    "AGPL-3.0": [*_gnu("Affero General Public License", "3", "19 November 2007"), "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.", "GNU AGPL version 3"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'],
+    "BSD-2-Clause": [_BSD.format(""), "BSD 2-Clause License.", "BSD 2-Clause"],
+    "BSD-3-Clause": [_BSD.format(_THIRD), "Redistribution and use in source and binary forms, with or without modification, are permitted. " + _THIRD[3:] + "BSD 3-Clause License.", "BSD 3-Clause License.", "BSD 3-Clause"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0, Creative Commons Attribution.", "Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License", "Attribution 4.0 International (CC BY 4.0)", "Licensed under CC BY 4.0."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "GPL-2.0": [*_gnu("General Public License", "2", "June 1991"), "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.", "GNU GPL version 2", "Distributed under GNU GPL version 2"],
+    "GPL-3.0": [*_gnu("General Public License", "3", "29 June 2007"), "The GNU General Public License is a free, copyleft license for software and other kinds of works.", "GNU GPL version 3", "Distributed under GNU GPL version 3"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License", "Licensed under the ISC license."],
+    "LGPL-2.1": [*_gnu("Lesser General Public License", "2.1", "February 1999"), "GNU LGPL version 2.1"],
+    "LGPL-3.0": [*_gnu("Lesser General Public License", "3", "29 June 2007"), "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.", "GNU LGPL version 3"],
+    "MIT": ["Released under the MIT License.", _MIT, "Licensed under the MIT license.", "The MIT License"],
+    "MPL-2.0": [_MPL.split(" If a copy")[0], _MPL, "Mozilla Public License Version 2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. The Unlicense.", _UNLICENSE],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "zlib License"],
 }
 
 
@@ -74,18 +65,9 @@ def _terms(text: Column) -> Column:
 
 
 def _python_terms(text: str) -> list[str]:
-    import re
-
     return [t for t in re.split("[^a-z0-9]+", text.lower()) if t]
 
 
-def _marked(text: Column, marks: tuple) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for m in marks:
-        out = out | F.contains(low, F.lit(m))
-    return out
-
-
 def _runs(text: Column) -> Column:
     """Runs of up to PARAGRAPHS adjacent paragraphs; lines without letters and digits part them."""
     parts = F.split(text, "\n(?:[^A-Za-z0-9\n]*\n)+")
@@ -93,51 +75,45 @@ def _runs(text: Column) -> Column:
     return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(PARAGRAPHS), F.size(parts) - i + 1)), lambda n: F.array_join(F.slice(parts, i, n), "\n"))))
 
 
-def scan(files: DataFrame, templates: dict[str, str | list[str]] | None = None, least: float = LEAST, marks: tuple | None = None) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, str | list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """One row per row of files (file_id, path, text): file_id, path, own_license, cosine, license, inherited_from.
 
     own_license and cosine are null under the least cosine; equal cosines go to the first template by name.
-    inherited_from is the directory, null where the license is the file's own. Null and empty texts and texts without
-    letters or digits have no license of their own. Files with a null path inherit nothing. Rows that repeat a path all
-    count and get their own results. Further columns are ignored; an empty table gives no rows. The templates are a
-    parameter, so their terms (weights of which come to the driver) are a bounded set. With marks, units are the lines
-    and whole texts that hold one of them, as SQL has it.
+    inherited_from is the directory ('' is the root), null where the license is the file's own. Null and empty texts and
+    texts without letters or digits have no license of their own. Files with a null path inherit nothing. Rows that
+    repeat a file_id or a path all count and get the results of their own text. Further columns are ignored; an empty table gives no
+    rows. The templates are a parameter, so their terms (weights of which come to the driver) are a bounded set.
+    Licensed files and licensed directories are broadcast where their measured size allows, else joined.
     """
-    templates = WHOLE if templates is None else templates
-    bodies = [(n, b) for n in sorted(templates) for b in ([templates[n]] if isinstance(templates[n], str) else templates[n])]
-    for n, b in bodies:
-        if marks and not any(m in b.lower() for m in marks):
-            raise ValueError(f"template {n} has none of the marks {marks}")
+    templates = TEMPLATES if templates is None else templates
+    bodies = _bodies(templates)
     names = [n for n, _ in bodies]
     counts = {i: {t: ts.count(t) for t in ts} for i, (_, b) in enumerate(bodies) for ts in [_python_terms(b)]}
     vocabulary = sorted({t for c in counts.values() for t in c})
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    files = files.withColumn("digest", F.md5("text"))
     known = F.array(*map(F.lit, vocabulary))
     found = files.select(F.explode(F.array_append(F.array_intersect(_terms(F.col("text")), known), F.lit("")))).groupBy("col").count()
     seen = {r["col"]: r["count"] for r in found.collect()}  # the vocabulary's terms, and "" for the files
     idf = _weights(vocabulary, seen)
-
-    import math
-
     vectors = {n: {t: (1 + math.log(c)) * idf[t] for t, c in counts[n].items()} for n in counts}
     norms = {n: math.sqrt(sum(w * w for w in v.values())) for n, v in vectors.items()}
     lookup = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
-    if marks:  # each marked text in units: its lines, and itself
-        units = files.where(_marked(F.col("text"), marks)).select("file_id", "path", F.explode(F.array_distinct(F.concat(F.filter(F.split("text", "\n"), lambda line: _marked(line, marks)), F.array("text")))).alias("unit"))
-    else:
-        # a unit's cosine is at most the length of the template's part in the text's terms over that of the template
-        def reach(i: int) -> Column:
-            squares = F.create_map(*[F.lit(x) for t, w in sorted(vectors[i].items()) for x in (t, w * w)])
-            return F.aggregate("own", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(squares, t), F.lit(0.0))) >= F.lit(((least - 1e-5) * norms[i]) ** 2)
-
-        own = files.select("file_id", "path", "text", F.explode(F.array(F.array_intersect(_terms(F.col("text")), known))).alias("own")).where("size(own) > 0")
-        own = own.where(reduce(or_, map(reach, vectors)))
-        units = own.select("file_id", "path", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), _runs(F.col("text")), F.array("text")))).alias("unit"))
+
+    # a unit's cosine is at most the length of the template's part in the text's terms over that of the template
+    def reach(i: int) -> Column:
+        squares = F.create_map(*[F.lit(x) for t, w in sorted(vectors[i].items()) for x in (t, w * w)])
+        return F.aggregate("own", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(squares, t), F.lit(0.0))) >= F.lit(((least - 1e-5) * norms[i]) ** 2)
+
+    key = ["file_id", "path", "digest"]
+    own = files.select(*key, "text", F.explode(F.array(F.array_intersect(_terms(F.col("text")), known))).alias("own")).where("size(own) > 0")
+    own = own.where(reduce(or_, map(reach, vectors)))
+    units = own.select(*key, F.explode(F.array_distinct(F.concat(F.split("text", "\n"), _runs(F.col("text")), F.array("text")))).alias("unit"))
     # explode(array(x)) computes x once a row; as plain columns the optimizer would copy x into each of its uses
-    terms = units.select("file_id", "path", F.explode(F.array(F.filter(_terms(F.col("unit")), lambda t: F.array_contains(known, t)))).alias("terms"))
-    weighed = terms.select("file_id", "path", F.explode(F.array(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter("terms", lambda x: x == t)).cast("double"))) * lookup[t]).alias("w"))))).alias("vector"))
+    terms = units.select(*key, F.explode(F.array(F.filter(_terms(F.col("unit")), lambda t: F.array_contains(known, t)))).alias("terms"))
+    weighed = terms.select(*key, F.explode(F.array(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter("terms", lambda x: x == t)).cast("double"))) * lookup[t]).alias("w"))))).alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    scored = weighed.select("file_id", "path", "vector", F.explode(F.array(length)).alias("length")).where("length > 0")
+    scored = weighed.select(*key, "vector", F.explode(F.array(length)).alias("length")).where("length > 0")
 
     def cosine(name: int) -> Column:
         own = F.create_map(*[F.lit(x) for t, w in sorted(vectors[name].items()) for x in (t, w)])
@@ -146,28 +122,33 @@ def scan(files: DataFrame, templates: dict[str, str | list[str]] | None = None,
 
     # the array keeps template order, so the first of equal cosines is found by the greatest (cosine, -place)
     best = F.array_max(F.array(*[F.struct(cosine(i).alias("cosine"), F.lit(-i).alias("place")) for i in vectors]))
-    per_unit = scored.select("file_id", "path", F.explode(F.array(best)).alias("best")).where(F.col("best.cosine") >= least)
-    if not marks:  # as a template, an identifier's line would resemble that of any other license
-        places = F.create_map(*[F.lit(x) for i, n in reversed(list(enumerate(names))) if i == names.index(n) for x in (n.lower(), -i)])
-        ids = files.select("file_id", "path", F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1))).alias("spdx"))
-        ids = ids.select("file_id", "path", F.try_element_at(places, F.regexp_replace(F.lower("spdx"), "-(only|or-later)$", "")).alias("place")).where("place is not null")
-        per_unit = per_unit.unionByName(ids.select("file_id", "path", F.struct(F.lit(1.0).alias("cosine"), "place").alias("best")))
-    own = per_unit.groupBy("file_id", "path").agg(F.max("best").alias("best"))
-    own = own.select("file_id", "path", F.element_at(F.array(*map(F.lit, names)), (1 - F.col("best.place")).cast("int")).alias("own_license"), F.col("best.cosine").alias("cosine"))
+    per_unit = scored.select(*key, F.explode(F.array(best)).alias("best")).where(F.col("best.cosine") >= least)
+    # as a template, an identifier's line would resemble that of any other license
+    places = F.create_map(*[F.lit(x) for i, n in reversed(list(enumerate(names))) if i == names.index(n) for x in (n.lower(), -i)])
+    ids = files.select(*key, F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1))).alias("spdx"))
+    ids = ids.select(*key, F.try_element_at(places, F.regexp_replace(F.lower("spdx"), "-(only|or-later)$", "")).alias("place")).where("place is not null")
+    per_unit = per_unit.unionByName(ids.select(*key, F.struct(F.lit(1.0).alias("cosine"), "place").alias("best")))
+    own = per_unit.groupBy(key).agg(F.max("best").alias("best"))
+    own = own.select(*(F.col(k).alias(f"own_{k}") for k in key), F.element_at(F.array(*map(F.lit, names)), (1 - F.col("best.place")).cast("int")).alias("own_license"), F.col("best.cosine").alias("cosine"))
+    own = small(own, F.coalesce(F.octet_length("own_path"), F.lit(0)) + 100)
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    holders = own.where("path is not null").select(directory.alias("holder"), "path", "own_license").groupBy("holder").agg(F.min(F.struct("path", "own_license")).alias("first")).select("holder", F.col("first.own_license").alias("held"))
+    held = own.where("own_path is not null").select(F.regexp_extract("own_path", "^(.*)/[^/]*$", 1).alias("holder"), "own_path", "own_license")
+    holders = held.groupBy("holder").agg(F.min(F.struct("own_path", "own_license")).alias("first")).select("holder", F.col("first.own_license").alias("held"))
     above = files.where("path is not null").select(directory.alias("dir")).distinct()
     parts = F.split("dir", "/")
-    above = above.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("holder"))
+    above = above.select("dir", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))).alias("holder"))
     nearest = above.join(holders, "holder").groupBy("dir").agg(F.max_by(F.struct("held", "holder"), F.length("holder")).alias("near"))
-    out = files.select("file_id", "path").join(own.withColumnsRenamed({"file_id": "own_id", "path": "own_path"}), F.col("file_id").eqNullSafe(F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")), "left")
+    nearest = small(nearest, F.octet_length("dir") + 100)
+    out = files.select(key).join(own, reduce(and_, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in key]), "left")
     out = out.withColumn("dir", directory).join(nearest, "dir", "left")
     return out.select("file_id", "path", "own_license", "cosine", F.coalesce("own_license", "near.held").alias("license"), F.when(F.col("own_license").isNull(), F.col("near.holder")).alias("inherited_from"))
 
 
-def _weights(vocabulary: list[str], seen: dict[str, int]) -> dict[str, float]:
-    import math
+def _bodies(templates: dict[str, str | list[str]]) -> list[tuple[str, str]]:
+    return [(n, b) for n in sorted(templates) for b in ([templates[n]] if isinstance(templates[n], str) else templates[n])]
 
+
+def _weights(vocabulary: list[str], seen: dict[str, int]) -> dict[str, float]:
     files = seen.get("", 0)
     return {t: math.log((1 + files) / (1 + seen.get(t, 0))) for t in vocabulary}
 
@@ -178,22 +159,13 @@ _PATH = """concat(coalesce(source, ''), '/', CASE WHEN floor(doc_id / 20) % 3 >
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that SQL fixes: short notices as templates, marked lines and texts as units."""
-    return _found(spark, sf_dir, TEMPLATES, MARKS)
-
-
-def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir)
-
-
-def _found(spark: SparkSession, sf_dir: str, templates: dict | None = None, marks: tuple | None = None) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.expr(_PATH).alias("path"), "text")
-    return scan(docs, templates, marks=marks).withColumnRenamed("file_id", "doc_id")
+    return scan(docs).withColumnRenamed("file_id", "doc_id")
 
 
 def _sql() -> str:
-    rows = ", ".join(f"({i}, '{n}', '{TEMPLATES[n]}')" for i, n in enumerate(sorted(TEMPLATES)))
-    marked = " OR ".join(f"contains(lower({{0}}), '{m}')" for m in MARKS)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(b)})" for i, (n, b) in enumerate(_bodies(TEMPLATES)))
     terms = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
     return f"""
 WITH t(place, name, body) AS (VALUES {rows}),
@@ -203,16 +175,21 @@ df AS (SELECT term, count(DISTINCT r) AS n FROM (SELECT r, unnest({terms.format(
 idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))) AS w FROM (SELECT DISTINCT term FROM tc) LEFT JOIN df USING (term)),
 tw AS (SELECT place, name, term, (1 + ln(c)) * w AS w FROM tc JOIN idf USING (term)),
 tn AS (SELECT place, sqrt(sum(w * w)) AS n FROM tw GROUP BY place),
-u AS (SELECT DISTINCT r, unit FROM (SELECT r, text AS unit FROM d UNION ALL SELECT r, unnest(string_split(text, chr(10))) FROM d) WHERE {marked.format('unit')}),
+pp AS (SELECT r, regexp_split_to_array(text, '\n(?:[^A-Za-z0-9\n]*\n)+') AS p FROM d),
+pr AS (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM pp),
+u AS (SELECT DISTINCT r, unit FROM (SELECT r, text AS unit FROM d UNION ALL SELECT r, unnest(string_split(text, chr(10))) FROM d
+      UNION ALL SELECT r, array_to_string(p[i:i + k - 1], chr(10)) FROM (SELECT r, p, i, unnest(range(1, least({PARAGRAPHS}, len(p) - i + 1) + 1)) AS k FROM pr))),
 uc AS (SELECT r, unit, term, count(*) AS c FROM (SELECT r, unit, unnest({terms.format('unit')}) AS term FROM u) WHERE term IN (SELECT term FROM tc) GROUP BY ALL),
 uw AS (SELECT r, unit, term, (1 + ln(c)) * w AS w FROM uc JOIN idf USING (term)),
 un AS (SELECT r, unit, sqrt(sum(w * w)) AS n FROM uw GROUP BY ALL HAVING sum(w * w) > 0),
 s AS (SELECT r, name, place, round(sum(uw.w * tw.w) / (any_value(un.n) * any_value(tn.n)), 6) AS cosine
-      FROM uw JOIN un USING (r, unit) JOIN tw USING (term) JOIN tn USING (place) GROUP BY r, unit, name, place),
+      FROM uw JOIN un USING (r, unit) JOIN tw USING (term) JOIN tn USING (place) GROUP BY r, unit, name, place
+      UNION ALL SELECT r, name, min(place), 1.0
+      FROM (SELECT r, unnest(regexp_extract_all(text, '{_SPDX}', 1)) AS x FROM d) JOIN t ON lower(name) = regexp_replace(lower(x), '-(only|or-later)$', '') GROUP BY r, name),
 own AS (SELECT r, name AS own_license, cosine FROM s WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY r ORDER BY cosine DESC, place) = 1),
 f AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM d LEFT JOIN own USING (r)),
 h AS (SELECT dir AS holder, arg_min(own_license, path) AS held FROM f WHERE own_license IS NOT NULL GROUP BY dir),
-n AS (SELECT f.r, held, holder FROM f JOIN h ON f.dir = holder OR starts_with(f.dir, holder || '/') QUALIFY row_number() OVER (PARTITION BY f.r ORDER BY length(holder) DESC) = 1)
+n AS (SELECT f.r, held, holder FROM f JOIN h ON f.dir = holder OR holder = '' OR starts_with(f.dir, holder || '/') QUALIFY row_number() OVER (PARTITION BY f.r ORDER BY length(holder) DESC) = 1)
 SELECT doc_id, path, own_license, cosine, coalesce(own_license, held) AS license, CASE WHEN own_license IS NULL THEN holder END AS inherited_from
 FROM f LEFT JOIN n USING (r)
 """

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm import kernels as K
-from tessera.llm.frames import id_or_last, load, shown_id, utf8
+from tessera.llm.frames import id_or_last, load, saved, shown_id, small, utf8
 
 SPACING, TIMES, LEAST = 3, 31, 2
 _LINES = "id long, n_lines long, n_chunks long, removed long, kept binary"
@@ -54,13 +54,20 @@ def _candidates(least: int, batches):  # noqa: ANN001, ANN202
 
 
 def _spelled(least: int, batches):  # noqa: ANN001, ANN202
-    """(id, chunk) of the chunks whose digest is listed."""
+    """(id, chunk) of the chunks whose digest is listed, in batches of some megabytes."""
     for batch in batches:
+        ids, own, held = [], [], 0
         for id, text, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             known = set(known)
-            chunks = {b"\n".join(c) for c in line_chunks(text.as_py(), least) if len(c) > 1}
-            own = [c for c in chunks if _digest(c) in known]
-            yield pa.RecordBatch.from_arrays([pa.array([id] * len(own), pa.int64()), pa.array(own, pa.binary())], names=["id", "chunk"])
+            for c in {b"\n".join(c) for c in line_chunks(text.as_py(), least) if len(c) > 1}:
+                if _digest(c) in known:
+                    ids.append(id)
+                    own.append(c)
+                    held += len(c)
+            if held > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["id", "chunk"])
+                ids, own, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.binary())], names=["id", "chunk"])
 
 
 def _without(least: int, batches):  # noqa: ANN001, ANN202
@@ -88,10 +95,11 @@ def _without(least: int, batches):  # noqa: ANN001, ANN202
 def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_lines, n_chunks, removed (lines), kept (the text left, as bytes).
 
-    The first document is that with the smallest doc_id, null last. Rows that repeat a doc_id do not remove from each
-    other. Null and empty texts have no lines and stay empty; blank lines are lines. Further columns are ignored; an
+    The first document is that with the smallest doc_id. Rows that repeat a doc_id are one document and do not remove
+    from each other; so are those without one, which stand last. Null and empty texts have no lines and stay empty; blank lines are lines. Further columns are ignored; an
     empty table gives no rows. The shuffles carry digests, the bytes of candidate chunks and the texts once; a hot
-    chunk is pre-aggregated to its smallest doc_id.
+    chunk is pre-aggregated to its smallest doc_id, and who has it learns that from a broadcast of measured size, or
+    beyond that by a join that Spark may split.
     """
     return _deduped(docs, F.lit(0).alias("rest"), least).drop("rest")
 
@@ -99,11 +107,11 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def _deduped(docs: DataFrame, rest: Column, least: int = LEAST) -> DataFrame:
     """rest: a column named so that rides along with each document."""
     docs = docs.select(id_or_last().alias("id"), utf8().alias("text"), rest)
-    digests = docs.select("id", "text").mapInArrow(partial(_candidates, least), "digest long, id long")
-    shared = digests.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest")
+    digests = saved(docs.select("id", "text").mapInArrow(partial(_candidates, least), "digest long, id long"))
+    shared = small(digests.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest"), F.lit(8))
     listed = digests.join(shared, "digest").groupBy("id").agg(F.collect_set("digest").alias("known"))
     chunks = docs.join(listed, "id").select("id", "text", "known").mapInArrow(partial(_spelled, least), "id long, chunk binary")
-    first = chunks.groupBy("chunk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
+    first = small(chunks.groupBy("chunk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), F.octet_length("chunk") + 8)
     later = chunks.join(first, "chunk").where("id > low").groupBy("id").agg(F.collect_set("chunk").alias("later"))
     out = docs.join(later, "id", "left").select("id", "text", "later", "rest")
     shape = StructType([*StructType.fromDDL(_LINES).fields, out.schema["rest"]])
@@ -111,16 +119,7 @@ def _deduped(docs: DataFrame, rest: Column, least: int = LEAST) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that SQL fixes: a chunk may end after its first line, and chunks of one line stay."""
-    return _shown(line_dedup(load(spark, sf_dir, "documents"), 1))
-
-
-def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in chunks of LEAST lines or more, as in the pipeline."""
-    return _shown(line_dedup(load(spark, sf_dir, "documents")))
-
-
-def _shown(out: DataFrame) -> DataFrame:
+    out = line_dedup(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_chunks", F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -132,24 +131,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(new.get(c, F.col(f"rest.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes))
 
 
-SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT r, doc_id, line, p, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
-      FROM (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS p FROM d WHERE t <> '')),
-e AS (SELECT *, (coalesce(lag(h) OVER w, 0) * {TIMES} + h) % {SPACING} = 0 AS ends FROM l WINDOW w AS (PARTITION BY r ORDER BY p)),
-n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-c AS (SELECT r, doc_id, k, count(*) AS size, string_agg(line, chr(10) ORDER BY p) AS chunk FROM n GROUP BY ALL),
-f AS (SELECT *, size > 1 AND (doc_id > min(doc_id) OVER (PARTITION BY chunk, size > 1)
-             OR k > min(k) OVER (PARTITION BY chunk, size > 1, r)) AS gone FROM c),
-o AS (SELECT r, CAST(sum(size) AS BIGINT) AS n_lines, count(*) AS n_chunks, CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS n_removed,
-             coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM f GROUP BY r)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN o USING (r)
-"""
-
 #: In a run of lines where the hash says so, every second one ends a chunk: after an end the next line ends none.
-SQL_WHOLE = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT r, doc_id, line, p, size, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
       FROM (SELECT r, doc_id, len(string_split(t, chr(10))) AS size, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS p FROM d WHERE t <> '')),
 m AS (SELECT *, p BETWEEN 2 AND size - 2 AND (coalesce(lag(h) OVER w, 0) * {TIMES} + h) % {SPACING} = 0 AS may FROM l WINDOW w AS (PARTITION BY r ORDER BY p)),
@@ -160,6 +144,6 @@ f AS (SELECT *, size > 1 AND (doc_id > min(doc_id) OVER (PARTITION BY chunk, siz
              OR k > min(k) OVER (PARTITION BY chunk, size > 1, r)) AS gone FROM c),
 o AS (SELECT r, CAST(sum(size) AS BIGINT) AS n_lines, count(*) AS n_chunks, CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS n_removed,
              coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM f GROUP BY r)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT nullif(doc_id, 9223372036854775807) AS doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o USING (r)
 """

@@ -218,19 +218,31 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_licenses(spark):
-    files = [(1, "a/LICENSE", "MIT\nReleased under the MIT License."), (2, "a/b/c.py", "print()"), (3, "a/x/y.py", "# Licensed under the Apache License, Version 2.0.\nx"), (4, "a/x/z.py", None), (5, "q/r.py", "nothing"), (6, None, "text"), (6, None, "text")]
-    out = {r.file_id: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
-    assert out == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("Apache-2.0", None), 4: ("Apache-2.0", "a/x"), 5: (None, None), 6: (None, None)}
+    files = [(1, "a/LICENSE", "MIT\nReleased under the MIT License."), (2, "a/b/c.py", "print()"), (3, "a/x/y.py", "# Licensed under the Apache License, Version 2.0.\nx"), (4, "a/x/z.py", None), (5, "q/r.py", "nothing"), (6, None, "text"), (6, None, "text"), (7, "w/a.txt", "Released under the MIT License."), (7, "w/a.txt", "other")]
+    out = sorted((r.file_id, r.own_license, r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect() if r.file_id < 6)
+    assert out == [(1, "MIT", "MIT", None), (2, None, "MIT", "a"), (3, "Apache-2.0", "Apache-2.0", None), (4, None, "Apache-2.0", "a/x"), (5, None, None, None)]
+    clash = spark.createDataFrame(files, "file_id long, path string, text string").withColumns({c: F.lit("own") for c in ("digest", "dir", "own_path", "near", "unit", "license", "holder")})
+    mixed = [(r.own_license, r.license, r.inherited_from) for r in licenses.scan(clash).where("file_id = 7").collect()]
+    assert sorted(mixed, key=str) == sorted([("MIT", "MIT", None), (None, "MIT", "w")], key=str)
+    assert [(r.license, r.inherited_from) for r in licenses.scan(clash).where("file_id = 6").collect()] == [(None, None)] * 2
     assert licenses.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_licenses_of_the_root(spark):
+    """The root's license holds for all below it, of relative and of absolute paths; long texts and ties are scanned whole."""
+    files = [(1, "LICENSE", "The MIT License (MIT)"), (2, "src/x.py", "y"), (3, "/abs/z", ""), (4, "top", None), (5, "deep/a/b/c", "word " * 200_000 + "\n\nLicensed under the ISC license.\n"), (6, "deep/a/b/d", "none")]
+    files += [(100 + k, None, f"other words {k}") for k in range(40)]
+    out = {r.file_id: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect() if r.file_id < 100}
+    assert out == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("MIT", ""), 5: ("ISC", None), 6: ("ISC", "deep/a/b")}
+
+
 def test_licenses_whole(spark):
     """Bodies, standard headers over several lines, SPDX identifiers and common notices, beside other text."""
     wrap = lambda t, mark="": "\n".join(mark + t[i : i + 60] for i in range(0, len(t), 60))
     head = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {0} of the License, or\n# (at your option) any later version.\n#\nimport os\nprint(os.name)"
     cases = [
         ("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + licenses._MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")),
-        ("MIT", "/* SPDX-License-Identifier: MIT */\nint x;"), ("MIT", "// Licensed under the MIT license.\nlet x;"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-only\nx = 1"), (None, "# SPDX-License-Identifier: Zlib\nx = 1"),
+        ("MIT", "/* SPDX-License-Identifier: MIT */\nint x;"), ("MIT", "// Licensed under the MIT license.\nlet x;"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-only\nx = 1"), ("Zlib", "# SPDX-License-Identifier: Zlib\nx = 1"), (None, "# SPDX-License-Identifier: WTFPL\nx = 1"), ("GPL-3.0", "Distributed under GNU GPL version 3"), ("BSD-3-Clause", "BSD 3-Clause"), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
         ("GPL-3.0", head.format(3)), ("GPL-2.0", head.format(2)), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble"), ("Apache-2.0", "code\n\n" + wrap(licenses._APACHE) + "\n\nmore code"),
         ("BSD-2-Clause", licenses._BSD.format("")), ("BSD-3-Clause", licenses._BSD.format(licenses._THIRD)), (None, "nothing of the kind"), (None, "wir gehen mit dem Hund"),
     ]
