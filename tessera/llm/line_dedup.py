@@ -110,7 +110,7 @@ def _deduped(docs: DataFrame, rest: Column, least: int = LEAST) -> DataFrame:
     digests = saved(docs.select("id", "text").mapInArrow(partial(_candidates, least), "digest long, id long"))
     shared = small(digests.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest"), F.lit(8))
     listed = digests.join(shared, "digest").groupBy("id").agg(F.collect_set("digest").alias("known"))
-    chunks = docs.join(listed, "id").select("id", "text", "known").mapInArrow(partial(_spelled, least), "id long, chunk binary")
+    chunks = saved(docs.join(listed, "id").select("id", "text", "known").mapInArrow(partial(_spelled, least), "id long, chunk binary"))
     first = small(chunks.groupBy("chunk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), F.octet_length("chunk") + 8)
     later = chunks.join(first, "chunk").where("id > low").groupBy("id").agg(F.collect_set("chunk").alias("later"))
     out = docs.join(later, "id", "left").select("id", "text", "later", "rest")
