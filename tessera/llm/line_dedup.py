@@ -98,8 +98,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     The first document is that with the smallest doc_id. Rows that repeat a doc_id are one document and do not remove
     from each other; so are those without one, which stand last. Null and empty texts have no lines and stay empty; blank lines are lines. Further columns are ignored; an
     empty table gives no rows. The shuffles carry digests, the bytes of candidate chunks and the texts once; a hot
-    chunk is pre-aggregated to its smallest doc_id, and who has it learns that from a broadcast of measured size, or
-    beyond that by a join that Spark may split.
+    chunk is pre-aggregated to its smallest doc_id, and who has it learns that by joins: of the digests with a broadcast
+    of measured size, of the chunks, and of the digests beyond that size, with an equi-join that Spark may split.
     """
     return _deduped(docs, F.lit(0).alias("rest"), least).drop("rest")
 
@@ -110,8 +110,9 @@ def _deduped(docs: DataFrame, rest: Column, least: int = LEAST) -> DataFrame:
     digests = saved(docs.select("id", "text").mapInArrow(partial(_candidates, least), "digest long, id long"))
     shared = small(digests.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest"), F.lit(8))
     listed = digests.join(shared, "digest").groupBy("id").agg(F.collect_set("digest").alias("known"))
-    chunks = saved(docs.join(listed, "id").select("id", "text", "known").mapInArrow(partial(_spelled, least), "id long, chunk binary"))
-    first = small(chunks.groupBy("chunk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), F.octet_length("chunk") + 8)
+    # from here one plan, in which Spark shuffles the texts once for both of their joins
+    chunks = docs.join(listed, "id").select("id", "text", "known").mapInArrow(partial(_spelled, least), "id long, chunk binary")
+    first = chunks.groupBy("chunk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
     later = chunks.join(first, "chunk").where("id > low").groupBy("id").agg(F.collect_set("chunk").alias("later"))
     out = docs.join(later, "id", "left").select("id", "text", "later", "rest")
     shape = StructType([*StructType.fromDDL(_LINES).fields, out.schema["rest"]])
