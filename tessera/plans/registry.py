@@ -42,3 +42,4 @@ import tessera.plans.catalog  # noqa: E402, F401  registers its queries
 import tessera.plans.folders  # noqa: E402, F401  registers its queries
 import tessera.plans.imports  # noqa: E402, F401  registers its queries
 import tessera.plans.shelves  # noqa: E402, F401  registers its queries
+import tessera.plans.states  # noqa: E402, F401  registers its queries
