@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import detection as D
 from tessera.operators import reconcile as R
 from tessera.plans.registry import query, table
 
@@ -56,3 +57,17 @@ FROM f JOIN d USING (g) LEFT JOIN lc USING (g)""")
 def representation_roles(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
     return R.roles(files, R.decide(files))
+
+
+_PARTS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, p_name, 'Maker ' || regexp_extract(p_brand, '[0-9]+', 0) AS maker FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+@query(f"""SELECT DISTINCT maker || '/' || p_name || '/CD' || l_linenumber || '/' || l_orderkey || '-' || l_suppkey || '.mp3' AS relative_path, lower(maker) || ' — ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS group_key, 'embedded album identity grouped these files' AS reason FROM ({_PARTS})""")
+def detected_books(spark: SparkSession, d: str) -> DataFrame:
+    """Every line as a tagged track of its part's recording, on the disc of its number."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", F.concat(F.lit("Maker "), F.regexp_extract("p_brand", "[0-9]+", 0)).alias("maker"))
+    rows = table(spark, d, "lineitem").join(part, "l_partkey")
+    path = F.concat("maker", F.lit("/"), "p_name", F.lit("/CD"), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".mp3"))
+    tags = F.create_map(F.lit("album"), F.col("p_name"), F.lit("artist"), F.col("maker"))
+    files = rows.select(path.alias("relative_path"), (F.col("l_quantity") / 10).alias("duration"), "p_name", "maker").groupBy("relative_path").agg(F.max("duration").alias("duration"), F.min("p_name").alias("p_name"), F.min("maker").alias("maker"))
+    return D.detect(files.select("relative_path", "duration", tags.alias("tags"))).select("relative_path", "group_key", "reason")
