@@ -225,8 +225,8 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, net: Reader | None, spans: bool = False) -> DataFrame:
-    """docs with lang_pred and score (mean probability, 0 to 1); with spans, the labels of all positions as well.
+def identify(docs: DataFrame, net: Reader | None, spans: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns, or those named in keep) with lang_pred and score (mean probability, 0 to 1); with spans, the labels of all positions as well.
 
     Texts that are null or have no letter are `und` with score 0, and so is everything where there is no network. The
     columns lang_pred, score and lang_spans must not be there before. Only the text decides: repeated rows give repeated
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, net: Reader | None, spans: bool = False) -> DataFr
     """
     shape = "lang_pred string, score double" + (", lang_spans array<struct<start:long,end:long,lang:string>>" if spans else "")
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    names = docs.columns
+    names = docs.columns if keep is None else keep
     width = len(names)
     inner = docs.select(*(F.col(f"`{c}`") for c in names), utf8(), has_letter(F.col("text")))
 
@@ -254,7 +254,7 @@ def identify(docs: DataFrame, net: Reader | None, spans: bool = False) -> DataFr
                 new.append(pa.array(labels, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*names, "lang_pred", "score", "lang_spans"][: width + len(new)])
 
-    return inner.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(shape).fields]))
+    return inner.mapInArrow(run, StructType([*(docs.schema[n] for n in names), *StructType.fromDDL(shape).fields]))
 
 
 def held_out(parts: int, part: int) -> Column:
@@ -264,7 +264,7 @@ def held_out(parts: int, part: int) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = train(docs.where(~F.coalesce(held_out(4, 2), F.lit(True))))
-    return identify(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(held_out(4, 2), F.lit(True)).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), net, keep=["doc_id"]).select("doc_id", F.coalesce(held_out(4, 2), F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -275,5 +275,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = train(docs)
     if net is None:
         return docs.where(has_letter(F.col("text")))
-    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), net)
+    found = identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), net, keep=["row"])
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST)).select("row.*")
