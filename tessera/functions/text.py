@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 _RUNS = re.compile(r"[^\W_]+")
 
@@ -120,3 +121,9 @@ def spelling_rank(text: Column) -> Column:
 def normalized(text: pd.Series) -> pd.Series:
     """NFKC, case-folded, runs of letters and digits joined by blanks; null stays null. Spark has neither NFKC nor case folding."""
     return text.map(lambda t: " ".join(_RUNS.findall(unicodedata.normalize("NFKC", t).casefold())), na_action="ignore")
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, for short keys; null where either is null."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -39,6 +39,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 import tessera.plans.audit  # noqa: E402, F401  registers its queries
 import tessera.plans.books  # noqa: E402, F401  registers its queries
 import tessera.plans.catalog  # noqa: E402, F401  registers its queries
+import tessera.plans.checks  # noqa: E402, F401  registers its queries
 import tessera.plans.folders  # noqa: E402, F401  registers its queries
 import tessera.plans.imports  # noqa: E402, F401  registers its queries
 import tessera.plans.shelves  # noqa: E402, F401  registers its queries
