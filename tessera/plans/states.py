@@ -176,16 +176,20 @@ def best_family(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT s_suppkey, count(*) AS n, count(*) FILTER (same) AS good, array_to_string(list_slice(list(c_custkey ORDER BY same DESC, gap, c_custkey), 1, 5), ',') AS candidates FROM p GROUP BY 1)
 SELECT s.s_suppkey, CASE WHEN n IS NULL THEN 'none' WHEN good = 1 THEN 'one' WHEN good > 1 THEN 'many' ELSE 'weak' END AS class, coalesce(candidates, '') AS candidates FROM supplier s LEFT JOIN g ON g.s_suppkey = s.s_suppkey""")
 def untracked_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers held against customers of like balance; the first five candidates are shown, all are counted."""
+    """Suppliers held against customers of like balance; the first five candidates are shown.
+
+    On each side of a balance `same` holds up to some distance, so the five nearest balances of either side have the five first
+    candidates, and tell whether none, one or more are the same.
+    """
     s, c = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation")), table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
     gap = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
     same = (F.col("s_acctbal") > 0) & (F.col("c_acctbal") > 0) & (gap <= F.greatest(F.lit(5.0), 0.005 * F.greatest("s_acctbal", "c_acctbal")))
-    pairs = M.band_join(s, c, "s_acctbal", "c_acctbal", 200.0, ["nation"]).select("s_suppkey", "c_custkey", gap.alias("gap"), same.alias("same"))
-    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.desc("same"), "gap", "c_custkey")))
-    first = ranked.where("place <= 5").groupBy("s_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "c_custkey"))), lambda x: x["c_custkey"]), ",").alias("candidates"))
-    counts = pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.count_if("same").alias("good"))
-    kind = M.first_match([("none", F.col("n").isNull()), ("one", F.col("good") == 1), ("many", F.col("good") > 1)], "weak")
-    return s.select("s_suppkey").join(counts, "s_suppkey", "left").join(first, "s_suppkey", "left").select("s_suppkey", kind.alias("class"), F.coalesce("candidates", F.lit("")).alias("candidates"))
+    near = M.nearest(s, c, "s_acctbal", "c_acctbal", 200.0, "c_custkey", ["nation"], 5).withColumns({"gap": gap, "same": same})
+    # at most ten balances of five keys
+    first = F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("keys_", lambda k: F.struct((~F.col("same")).alias("other"), F.col("gap").alias("gap"), k.alias("key")))))), 1, 5)
+    found = near.groupBy("nation", "s_acctbal").agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("n_"))), F.lit(0)).alias("good"), F.array_join(F.transform(first, lambda x: x["key"]), ",").alias("candidates"))
+    kind = M.first_match([("none", F.col("good").isNull()), ("one", F.col("good") == 1), ("many", F.col("good") > 1)], "weak")
+    return s.join(found, ["nation", "s_acctbal"], "left").select("s_suppkey", kind.alias("class"), F.coalesce("candidates", F.lit("")).alias("candidates"))
 
 
 @query(r"""SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '\', '\\'), '=', '\='), ';', '\;'), '#', '\#'), chr(10), ' ')) AS escaped FROM documents""")
