@@ -110,7 +110,7 @@ def _summary(rows: DataFrame) -> DataFrame:
         F.max(F.when(numbered, F.col("number"))).alias("number_high"), F.count(F.when(numbered, F.col("number"))).alias("numbers"), F.sum(F.when(numbered, F.col("number"))).alias("number_sum"),
         (F.min(F.when(v & F.col("mp3"), F.col("root"))) == F.max(F.when(v & F.col("mp3"), F.col("root")))).alias("mp3_one_root"),
         F.sum(F.when(v & F.col("mp3"), F.col("duration"))).alias("mp3_total"), F.sum(F.when(v & F.col("container"), F.col("duration"))).alias("container_total"),
-        F.bool_and(F.when(v & F.col("container"), F.col("under_way"))).alias("all_under_way"), F.min_by("duration", F.when(v & F.col("container"), F.col("order_"))).alias("first_container"),
+        F.bool_and(F.when(v & F.col("container"), F.col("under_way"))).alias("all_under_way"), F.min(F.when(v & F.col("container"), F.struct("order_", "duration")))["duration"].alias("first_container"),
         F.min(F.when(v & F.col("container"), F.col("duration"))).alias("least_container"), F.max(F.when(v & F.col("container"), F.col("duration"))).alias("most_container"),
         F.max_by("relative_path", F.when(v & F.col("container"), F.struct("duration", "size", "relative_path"))).alias("long_container"), F.min(F.when(v, F.col("relative_path"))).alias("one_path"),
         F.count_if(explicit).alias("explicits"), F.count_if(part).alias("parts"), F.max(F.when(part, F.col("duration"))).alias("longest_part"), F.sum(F.when(part, F.col("duration"))).alias("part_total"),
@@ -122,7 +122,8 @@ def decide(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 
     files: group_key, relative_path, size, duration in seconds (null or 0: unreadable), and if known format_name, codec,
     chapters (their number). groups: group_key, reasons (a list). Equal targets go to the one whose path sorts last; equal trees and
-    clusters to the path that sorts first. Repeated paths count as files of their own. An empty table gives no rows.
+    clusters to the path that sorts first. Repeated paths count as files of their own; of those that sort first the shortest is the
+    first container. An empty table gives no rows.
     """
     rows = described(files)
     valid = rows.where("valid")

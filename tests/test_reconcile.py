@@ -63,3 +63,11 @@ def test_every_file_has_a_role(frames):
     assert roles.count() == files.count()
     assert {tuple(r) for r in roles.where("group_key = 'like_containers/more' and role <> 'chosen'").select("relative_path", "role").collect()} == {("alternate.m4a", "alternate"), ("complete.mp3", "alternate"), ("broken.mp3", "problem")}
     assert R.decide(files.where("false"), groups).count() == 0
+
+
+def test_first_container_of_repeated_paths(spark):
+    """The shorter of two files of one path counts, in whatever order they come."""
+    files = [("g", "Old/07.m4b", 264495, 105518.906), ("g", "Old/07.m4b", 279837, 104645.024154), ("g", "Old/01.mp3", 269149, 77292.745824), ("g", "Whole/Book.m4b", 11, 104259.45)]
+    for rows in (files, files[::-1]):
+        one = spark.createDataFrame(rows, "group_key string, relative_path string, size long, duration double").coalesce(1)
+        assert R.decide(one).first().rule == "like_containers"
