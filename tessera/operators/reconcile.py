@@ -1,9 +1,9 @@
 """Which files of a group are the book: the choice among its representations.
 
-A representation is the readable files below one root folder. Files are aggregated by root and by kind, and these sums
-meet the files that may be whole books: other sums by an equi-join on bands of the durations' logarithms, a file's own sums, less
-the file itself, by an equi-join on the root or group. So neither files nor representations are paired with each other;
-windows see one row for each representation.
+A representation is the readable files below one root folder. What paths say is worked out once and stored, as columns. Files are
+aggregated by root and by kind, and these sums meet the files that may be whole books by an equi-join on bands of the durations'
+logarithms: other sums as they are, a file's own sums, less the file itself, by their half. So neither files nor representations
+are paired with each other; windows see one row for each representation.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from tessera.operators import imports as I
 from tessera.operators import matching as M
 from tessera.operators import paths as P
+from tessera.operators.shared import stored
 
 NEAR, NEARER = 0.01, 0.005
 _WIDTH = -math.log(1 - NEAR)
 #: Window frames need whole numbers: logarithms in trillionths, and how far they may be apart.
 _SCALE = 1e12
 _STEPS = math.ceil(_WIDTH * _SCALE) + 1
+#: Bands are so wide that a sum, with all that is near it, seldom lies in two; the reach leaves room for rounding.
+_BAND, _REACH = 8 * _WIDTH, _WIDTH + 1e-9
 #: Each rule's outcome and confidence. equivalent sums are a case of corroborated ones and need no rule.
 OUTCOMES = {
     "identity_conflict": ("quarantine", 0.2), "unreadable": ("quarantine", 0.0), "original_whole": ("complete_m4b", 0.95), "disc_tree_over_target": ("combine_components", 0.92),
@@ -42,37 +45,39 @@ def described(files: DataFrame) -> DataFrame:
         has("format_name", "string").alias("format_name"), has("codec", "string").alias("codec"), F.coalesce(has("chapters", "int"), F.lit(0)).alias("chapters"),
     )
     rows = rows.select("group_key", "relative_path", "size", "duration", "chapters", F.lower("relative_path").alias("order_"), P.is_container(path, F.col("format_name"), F.col("codec")).alias("container"), (P.suffix(path) == "mp3").alias("mp3"))
+    stem = P.stem(path)
     number = F.regexp_extract(P.last_part(path), r"^(\d+)[ ._-]", 1).try_cast("int")
     return rows.withColumns({
         "valid": duration.isNotNull(), "root": P.representation_root(path, duration), "disc": P.disc_parent(path, duration), "legacy": P.legacy(path),
-        "under_way": P.under_way(path), "explicit": P.explicit_whole(path), "number": number, "segment": F.lower(P.last_part(P.directory(path))), "disc_root": P.directory(P.directory(path)),
+        "under_way": P.under_way(path), "explicit": P.explicit_whole(path), "number": number, "segment": F.lower(P.last_part(P.directory(path))), "marked": F.coalesce(stem.rlike(I.EXPLICIT) | stem.rlike(I.TRAILING), F.lit(False)), "disc_root": P.directory(P.directory(path)),
     }).withColumn("target", F.col("valid") & (F.col("container") | F.col("explicit") | (F.col("mp3") & (duration >= P.BOOK_SECONDS))))
 
 
 def _roots(valid: DataFrame) -> DataFrame:
     whole = F.count_if("container") == F.count("*")
     return valid.groupBy("group_key", "root").agg(
-        F.count("*").alias("n"), F.sum("duration").alias("total"), F.sum("size").alias("bytes"), whole.alias("containers"), F.min("order_").alias("first"),
+        F.count("*").alias("n"), F.sum("duration").alias("total"), F.sum("size").alias("bytes"), whole.alias("containers"),
     )
 
 
 def matched_targets(valid: DataFrame) -> DataFrame:
-    """(group_key, relative_path, duration, size, n): the files that may be whole and whose duration a set of two or more others adds up to; n is the
-    least size of such a set. Sets: the others below one root, the other mp3 files, the other containers."""
-    roots = _roots(valid).select("group_key", F.concat(F.lit("/"), "root").alias("set_"), "n", "total")
+    """(group_key, relative_path, duration, size, legacy, container, copies, n): the files that may be whole and whose duration a set of two or more
+    others adds up to; copies is how many files are alike in all of these, n the least size of such a set. Sets: the others below one root, the
+    other mp3 files, the other containers."""
+    roots = valid.groupBy("group_key", "root").agg(F.count("*").alias("n"), F.sum("duration").alias("total")).select("group_key", F.concat(F.lit("/"), "root").alias("set_"), "n", "total")
     kind = lambda c: valid.where(c).groupBy("group_key").agg(F.lit(c).alias("set_"), F.count("*").alias("n"), F.sum("duration").alias("total"))
-    sets = reduce(DataFrame.unionByName, [roots, kind("mp3"), kind("container")])
-    targets = valid.where("target").select("group_key", "relative_path", "duration", "size", "mp3", "container", F.concat(F.lit("/"), "root").alias("root_"))
+    sets = reduce(DataFrame.unionByName, [roots, kind("mp3"), kind("container")]).where("n >= 2")
+    key = ["group_key", "relative_path", "duration", "size", "legacy", "container"]
+    targets = valid.where("target").select(*key, "mp3", F.concat(F.lit("/"), "root").alias("root_"), F.floor(F.log("duration") / _BAND).alias("band_"))
+    # a file is close to the rest of its own set only if it is closer still to half of the set
+    ways = F.array(F.struct(F.lit(False).alias("own"), F.col("total").alias("near")), F.struct(F.lit(True).alias("own"), (F.col("total") / 2).alias("near")))
+    reach = lambda sign: F.floor((F.log("way.near") + F.lit(sign * _REACH)) / _BAND)
+    sets = sets.withColumn("way", F.explode(ways)).where("n >= 3 or not way.own").withColumn("band_", F.explode(F.array_distinct(F.array(reach(-1), reach(1)))))
     member = (F.col("set_") == F.col("root_")) | ((F.col("set_") == "mp3") & F.col("mp3")) | ((F.col("set_") == "container") & F.col("container"))
-    own = targets.withColumn("set_", F.explode(F.array_compact(F.array("root_", F.when(F.col("mp3"), "mp3"), F.when(F.col("container"), "container")))))
-    own = own.join(sets, ["group_key", "set_"]).withColumns({"n": F.col("n") - 1, "total": F.col("total") - F.col("duration")})
-    band = lambda c: F.floor(F.log(c) / _WIDTH)
-    spread = targets.withColumn("band_", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band("duration") + k)))
-    others = spread.join(sets.withColumn("band_", band("total")), ["group_key", "band_"]).where(~member)
-    key = ["group_key", "relative_path", "duration", "size"]
-    columns = [*key, "n", "total"]
-    every = own.select(columns).unionByName(others.select(columns))
-    return every.where((F.col("n") >= 2) & P.close(F.col("duration"), F.col("total"))).groupBy(key).agg(F.min("n").alias("n"))
+    rest = F.when(F.col("way.own"), F.col("total") - F.col("duration")).otherwise(F.col("total"))
+    found = targets.join(sets, ["group_key", "band_"]).where((F.col("way.own") == member) & P.close(F.col("duration"), rest))
+    alike = found.groupBy(*key, "set_").agg(F.count("*").alias("copies"), F.min(F.col("n") - F.col("way.own").cast("int")).alias("n"))
+    return alike.groupBy(key).agg(F.max("copies").alias("copies"), F.min("n").alias("n"))
 
 
 def disc_trees(valid: DataFrame) -> DataFrame:
@@ -87,10 +92,10 @@ def corroborated(valid: DataFrame) -> DataFrame:
     """(group_key, best_root, best_n, best_whole): of the representations within NEAR of each other around the longest such cluster,
     if that reaches 98 % of the longest representation, the one of containers alone, then the largest, then the longest."""
     roots = _roots(valid).withColumn("log_", F.round(F.log("total") * _SCALE).cast("long"))
-    near = Window.partitionBy("group_key").orderBy("log_").rangeBetween(-_STEPS, _STEPS)
-    seen = roots.select("*", F.count("*").over(near).alias("like"), F.max("total").over(near).alias("most"), F.max("total").over(Window.partitionBy("group_key")).alias("top"))
-    centre = seen.where("like >= 2 and most >= 0.98 * top").groupBy("group_key").agg(F.max_by("log_", F.struct("most", (-F.col("log_")).alias("low"))).alias("centre"))
-    cluster = roots.join(centre, "group_key").where(F.abs(F.col("log_") - F.col("centre")) <= _STEPS)
+    near, every = Window.partitionBy("group_key").orderBy("log_").rangeBetween(-_STEPS, _STEPS), Window.partitionBy("group_key")
+    seen = roots.select("*", F.count("*").over(near).alias("like"), F.max("total").over(near).alias("most"), F.max("total").over(every).alias("top"))
+    centre = F.max(F.when(F.expr("like >= 2 and most >= 0.98 * top"), F.struct("most", (-F.col("log_")).alias("low")))).over(every)
+    cluster = seen.withColumn("centre", -centre["low"]).where(F.abs(F.col("log_") - F.col("centre")) <= _STEPS)
     best = F.max_by(F.struct("root", "n", "containers"), F.struct("containers", "bytes", "total", "root")).alias("best")
     return cluster.groupBy("group_key").agg(best).select("group_key", F.col("best.root").alias("best_root"), F.col("best.n").alias("best_n"), F.col("best.containers").alias("best_whole"))
 
@@ -102,7 +107,7 @@ def _summary(rows: DataFrame) -> DataFrame:
     numbered = original & F.col("mp3")
     pick = lambda c, when: F.max(F.when(when, F.col(c)))
     return rows.groupBy("group_key").agg(
-        F.count_if(v).alias("valid_"), F.count_if(~v).alias("broken"), F.count_if(v & F.col("container")).alias("containers"), F.count_if(v & F.col("mp3")).alias("mp3s"),
+        F.count_if(v).alias("valid_"), F.count_if(~v).alias("broken"), F.count_if(~F.col("marked")).alias("unmarked"), F.count_if(v & F.col("container")).alias("containers"), F.count_if(v & F.col("mp3")).alias("mp3s"),
         F.count_if(original).alias("originals"), F.count_if(original & F.col("container")).alias("original_containers"), F.count_if(numbered).alias("original_mp3s"),
         pick("duration", original & F.col("container")).alias("container_length"), pick("duration", numbered).alias("mp3_length"), pick("chapters", original & F.col("container")).alias("container_chapters"),
         pick("relative_path", original & F.col("container")).alias("original_path"), F.sum(F.when(numbered, F.col("duration"))).alias("numbered_total"),
@@ -123,16 +128,17 @@ def decide(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     files: group_key, relative_path, size, duration in seconds (null or 0: unreadable), and if known format_name, codec,
     chapters (their number). groups: group_key, reasons (a list). Equal targets go to the one whose path sorts last; equal trees and
     clusters to the path that sorts first. Repeated paths count as files of their own; of those that sort first the shortest is the
-    first container. An empty table gives no rows.
+    first container. An empty table gives no rows. What the paths say is written to the shared folder, once, and stays there.
     """
-    rows = described(files)
+    rows = stored(described(files))
     valid = rows.where("valid")
     one = _summary(rows)
-    found = valid.join(matched_targets(valid), ["group_key", "relative_path", "duration", "size"], "left_semi")
     best = F.max(F.struct("duration", "size", "relative_path", "legacy", "container")).alias("t")
-    one = one.join(found.groupBy("group_key").agg(F.count("*").alias("targets"), best), "group_key", "left")
+    one = one.join(matched_targets(valid).groupBy("group_key").agg(F.sum("copies").alias("targets"), best), "group_key", "left")
     one = one.join(disc_trees(valid), "group_key", "left").join(corroborated(valid), "group_key", "left")
-    one = one.join(I.numbered_sets(files.select("group_key", "relative_path", "duration")).select("group_key", F.col("state").alias("numbering"), "missing", "unreadable"), "group_key", "left")
+    # a file without a number makes its group an unnumbered one
+    sets = I.numbered_sets(rows.where("marked").select("group_key", "relative_path", "duration"))
+    one = one.join(sets.select("group_key", F.col("state").alias("numbering"), "missing", "unreadable"), "group_key", "left")
     other = valid.where("explicit").select("group_key", "duration").join(one.select("group_key", "part_total"), "group_key").groupBy("group_key").agg(F.bool_or(P.close(F.col("duration"), F.col("part_total"))).alias("explicit_matches"))
     one = one.join(other, "group_key", "left")
     conflict = F.lit(False)
@@ -148,7 +154,7 @@ def decide(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         ("disc_tree_over_target", has_target & (F.col("disc_total") > 1.1 * F.col("t.duration"))),
         ("numbered_originals", has_target & F.col("t.legacy") & (n >= 2) & F.col("numbered_one_root") & sequence & P.close(F.col("numbered_total"), F.col("t.duration"), NEARER)),
         ("one_target", F.col("targets") == 1), ("several_targets", F.col("targets") > 1),
-        ("sequence_conflict", F.col("numbering").isin("invalid", "conflicting_totals", "duplicates", "incomplete")),
+        ("sequence_conflict", (F.col("unmarked") == 0) & F.col("numbering").isin("invalid", "conflicting_totals", "duplicates", "incomplete")),
         ("disc_tree", F.col("disc_total").isNotNull()),
         ("partial_conversion", F.col("mp3_one_root") & (F.col("containers") > 0) & (F.col("mp3s") >= 2) & (F.col("container_total") < 0.98 * F.col("mp3_total")) & F.col("all_under_way")),
         ("corroborated", F.col("best_root").isNotNull()),

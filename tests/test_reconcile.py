@@ -71,3 +71,15 @@ def test_first_container_of_repeated_paths(spark):
     for rows in (files, files[::-1]):
         one = spark.createDataFrame(rows, "group_key string, relative_path string, size long, duration double").coalesce(1)
         assert R.decide(one).first().rule == "like_containers"
+
+
+def test_paths_are_read_once(frames):
+    """What paths say is a stored table's columns; no part of the choice matches patterns again."""
+    assert "RLIKE" not in R.decide(*frames)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_anywhere_in_a_directory(spark):
+    """Folders under way and of other versions count at any depth, and whole names only."""
+    paths = {"a-tmpfiles/b/x.mp3": (True, False), "a/tmpfile/x.mp3": (True, False), "tmpfiles.mp3": (False, False), "a/tmpfiles2/x.mp3": (False, False), "atmpfiles/x.mp3": (False, False), "a/Alt. Versions/b/x.mp3": (False, True), "halt version/x.mp3": (False, False), "alternate  version/x.mp3": (False, True)}
+    rows = spark.createDataFrame([("g", p, 1, 1.0) for p in paths], "group_key string, relative_path string, size long, duration double")
+    assert {r.relative_path: (r.under_way, r.explicit) for r in R.described(rows).collect()} == paths
