@@ -91,7 +91,7 @@ def entity_components(spark: SparkSession, d: str) -> DataFrame:
 def order_components(spark: SparkSession, d: str) -> DataFrame:
     """Orders that suppliers link, over all rows; a supplier's node is -1 - l_suppkey. Recursive SQL is too slow for it."""
     rows = table(spark, d, "lineitem").where("l_orderkey is not null and l_suppkey is not null")
-    return components(rows.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")).distinct())
+    return components(rows.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

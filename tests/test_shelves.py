@@ -131,6 +131,18 @@ def test_order_components(spark):
     assert {tuple(r) for r in registry.QUERIES["order_components"](spark, sf).collect()} == union_find(edges)
 
 
+def test_components_shrink(spark, monkeypatch):
+    """No later table holds the whole component at its root: what is saved gets smaller, down to nothing."""
+    from tessera.operators import components as C
+
+    sizes = []
+    save = C.saved
+    monkeypatch.setattr(C, "saved", lambda df: (lambda out: sizes.append(out.count()) or out)(save(df)))
+    rows = spark.range(3000).selectExpr("id div 3 AS a", "-1 - (id * 7919) % 50 AS b")
+    assert {r.root for r in C.components(rows).collect()} == {-50}
+    assert sizes[-1] == 0 and sum(sizes) < 3 * sizes[0]
+
+
 def test_no_row_or_text_is_lost(spark):
     """Every customer has a place, every different text a document, every part its whole title."""
     sf = "/root/testdata/sf0.001"
