@@ -143,6 +143,24 @@ def test_components_shrink(spark, monkeypatch):
     assert sizes[-1] == 0 and sum(sizes) < 3 * sizes[0]
 
 
+@pytest.mark.parametrize("alone", [0, 40, 250_000])
+def test_components_alone(spark, monkeypatch, alone):
+    """Rounds, rounds with one task for the rest, and that task alone agree, for names, too; a small graph takes few saved tables."""
+    from tessera.operators import components as C
+
+    saves = []
+    save = C.saved
+    monkeypatch.setattr(C, "saved", lambda df: saves.append(1) or save(df))
+    monkeypatch.setattr(C, "_ALONE", alone)
+    edges = [(i * 7919 % 211, (i + 1) * 7919 % 211) for i in range(180)] + [(1000, 1000 + i) for i in range(60)] + [(5, 5), (-3, 1059), (1059, -3)]
+    want = union_find([(a, b) for a, b in edges if a != b])
+    assert {tuple(r) for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    assert alone < len(edges) or len(saves) == 3
+    named = [(f"{a:+05d}é", f"{b:+05d}é") for a, b in edges]
+    got = [tuple(r) for r in C.components(spark.createDataFrame(named, "a string, b string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == union_find([(a, b) for a, b in named if a != b])
+
+
 def test_no_row_or_text_is_lost(spark):
     """Every customer has a place, every different text a document, every part its whole title."""
     sf = "/root/testdata/sf0.001"
