@@ -340,8 +340,9 @@ def _pack_segments(buckets: int, hot: Broadcast, batches):  # noqa: ANN001, ANN2
             row, key, start, end = row[~wide], key[~wide], start[~wide], end[~wide]
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
             code = key.astype(np.uint32)
-            bound = np.searchsorted(row, np.arange(rows[0], rows[-1] + 2)).tolist()
-            shared = np.concatenate([np.isin(code[bound[n] : bound[n + 1]], codes[code_at[k] : code_at[k + 1]]) for n, k in enumerate(rows)])
+            held = code_at[rows[0] : rows[-1] + 2]
+            known = np.repeat(np.arange(len(rows)), np.diff(held)).astype(np.uint64) << np.uint64(32) | codes[held[0] : held[-1]]
+            shared = np.isin((row - rows[0]).astype(np.uint64) << np.uint64(32) | code, known)
             row, bucket, start, end, lo = row[shared], bucket[shared], start[shared], end[shared], int(off[rows[0]])
             raw = data[lo : off[rows[-1] + 1]].tobytes()
             for n, k, a, b, at in zip(bucket.tolist(), row.tolist(), (start - lo).tolist(), (end + SPAN - 1 - lo).tolist(), (start - off[row]).tolist(), strict=True):
@@ -357,27 +358,44 @@ def _pack_segments(buckets: int, hot: Broadcast, batches):  # noqa: ANN001, ANN2
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["bucket", "segments"])
 
 
-def _spans(segments: list[bytes], owners: list[np.ndarray], out: dict[int, list[int]]) -> None:
-    """Adds the spans that go, by text. The segments are those of whole keys, with repeats; owners: (text, id, first byte) rows."""
-    distinct: dict[bytes, list[np.ndarray]] = {}
-    for segment, own in zip(segments, owners, strict=True):
-        distinct.setdefault(segment, []).append(own)
-    who = [np.concatenate(x) for x in distinct.values()]
-    size = np.array([len(s) for s in distinct], np.int64)
+def _spans(part: np.ndarray, segments: list[bytes], low: np.ndarray, bound: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(texts, starts, ends) of the spans that go in the distinct segments of the numbers in part, which are those of whole keys.
+
+    low: the smallest id of each segment; rows: text, id and first byte of all owners, those of segment n from bound[n] on.
+    """
+    own = [segments[n] for n in part.tolist()]
+    size = np.array([len(s) for s in own], np.int64)
     ends = np.cumsum(size)
-    low = window_groups(np.frombuffer(b"".join(distinct), np.uint8), ends - size, ends, np.array([w[:, 1].min() for w in who], np.int64))
-    base = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+    smallest = window_groups(np.frombuffer(b"".join(own), np.uint8), ends - size, ends, low[part])
+    base = ends - size + np.arange(len(size))
     # smallest and greatest id among each segment's windows; the positions between hold NO_ID and are left out
     bounds = np.stack((base, base + size - SPAN + 1), axis=1).ravel()
-    firsts, lasts = np.minimum.reduceat(low, bounds)[::2].tolist(), np.maximum.reduceat(low, bounds)[::2].tolist()
-    for n, (own, first, last) in enumerate(zip(who, firsts, lasts, strict=True)):
-        smallest = low[base[n] : base[n] + size[n] - SPAN + 1]
-        for text, id, at in own[own[:, 1] > first].tolist():
-            if last < id:
-                out.setdefault(text, []).extend((at, at + int(size[n])))
-            else:
-                gone = np.flatnonzero(smallest < id) + at
-                out.setdefault(text, []).extend(np.stack(K.merged(gone, gone + SPAN), axis=1).ravel().tolist())
+    firsts, lasts = np.minimum.reduceat(smallest, bounds)[::2], np.maximum.reduceat(smallest, bounds)[::2]
+    nth, at = _ranges(bound[part + 1] - bound[part])
+    text, id, at = rows[:, at + bound[part][nth]]
+    whole = lasts[nth] < id
+    yield text[whole], at[whole], at[whole] + size[nth[whole]]
+    some = np.flatnonzero(~whole & (firsts[nth] < id))
+    windows = size[nth[some]] - SPAN + 1
+    for a, b in K.slices(np.concatenate(([0], np.cumsum(windows)))):
+        row = some[a:b]
+        which, inside = _ranges(windows[a:b])
+        gone = np.flatnonzero(smallest[base[nth[row]][which] + inside] < id[row][which])
+        which, inside = which[gone], inside[gone]
+        new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (inside[1:] > inside[:-1] + SPAN))))
+        last, row = np.append(new[1:], len(gone)) - 1, row[which[new]]
+        yield text[row], at[row] + inside[new], at[row] + inside[last] + SPAN
+
+
+def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts 2, 1: (0, 0, 1) and (0, 1, 0)."""
+    nth = np.repeat(np.arange(len(counts)), counts)
+    return nth, np.arange(len(nth)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that end at the given bytes of data."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
 def _sort(batches):  # noqa: ANN001, ANN202
@@ -387,38 +405,43 @@ def _sort(batches):  # noqa: ANN001, ANN202
         for bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             buckets.setdefault(bucket, []).append(packed)
     for bucket in sorted(buckets):
-        names, segments, owners = [], [], []
+        names, rows, nths, number, base = [], [], [], {}, 0
         for packed in buckets.pop(bucket):
             digests, ids, size, count, nth, at, raw = _unpacked(packed)
-            nth, ids = np.frombuffer(nth, np.uint32).astype(np.int64), np.frombuffer(ids, np.int64)
-            rows = np.stack((nth + len(names), ids[nth], np.frombuffer(at, np.uint32).astype(np.int64)), axis=1)
-            names += [bytes(digests[i : i + 16]) for i in range(0, len(digests), 16)]
+            nth, ids, raw = np.frombuffer(nth, np.uint32).astype(np.int64), np.frombuffer(ids, np.int64), bytes(raw)
+            rows.append(np.stack((nth + base, ids[nth], np.frombuffer(at, np.uint32).astype(np.int64))))
+            names.append(np.frombuffer(digests, "V16"))
+            base += len(ids)
             ends = np.cumsum(np.frombuffer(size, np.uint32), dtype=np.int64).tolist()
-            segments += [bytes(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            owners += np.split(rows, np.cumsum(np.frombuffer(count, np.uint32), dtype=np.int64)[:-1])
+            own = [number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            nths.append(np.repeat(np.array(own, np.int64), np.frombuffer(count, np.uint32)))
+        names, rows, nth, segments = np.concatenate(names), np.concatenate(rows, axis=1), np.concatenate(nths), list(number)
+        order = np.argsort(_small(nth, len(segments)), kind="stable")
+        rows, nth = rows[:, order], nth[order]
+        bound = np.append(K.runs(nth), len(nth))
+        low, size = np.minimum.reduceat(rows[1], bound[:-1]), np.array([len(s) for s in segments], np.int64)
         key = np.concatenate([_first_keys(segments[i : i + 4096]) for i in range(0, len(segments), 4096)])
         order = np.argsort(key, kind="stable")
-        cut, out = np.append(K.runs(key[order]), len(order)).tolist(), {}
-        part, held = [], 0
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            own = order[a:b].tolist()
-            segment = segments[own[0]]
-            if all(segments[i] == segment for i in own[1:]):  # one segment has nothing to be sorted against
-                every = np.concatenate([owners[i] for i in own]) if len(own) > 1 else owners[own[0]]
-                for text, _, at in every[every[:, 1] > every[:, 1].min()].tolist():
-                    out.setdefault(text, []).extend((at, at + len(segment)))
-                continue
-            part += own
-            held += sum(len(segments[i]) for i in own)
-            if held > SORT_BYTES:
-                _spans([segments[i] for i in part], [owners[i] for i in part], out)
-                part, held = [], 0
-        if part:
-            _spans([segments[i] for i in part], [owners[i] for i in part], out)
-        rows = sorted(out.items())
-        for a in range(0, len(rows), 8192):
-            part = rows[a : a + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array([names[t] for t, _ in part], pa.binary()), pa.array([np.array(x, np.uint32).tobytes() for _, x in part], pa.binary())], names=["digest", "spans"])
+        count = np.diff(np.append(K.runs(key[order]), len(order)))
+        alone = np.empty(len(order), bool)
+        alone[order] = np.repeat(count == 1, count)
+        own = np.flatnonzero(alone[nth] & (rows[1] > low[nth]))  # one segment has nothing to be sorted against
+        found = [(rows[0, own], rows[2, own], rows[2, own] + size[nth[own]])]
+        rest, cut = order[~alone[order]], np.cumsum(count[count > 1])
+        held = np.cumsum(size[rest])[cut - 1]
+        a = done = 0
+        while a < len(rest):
+            last = min(int(np.searchsorted(held, done + SORT_BYTES, "right")), len(cut) - 1)
+            found += _spans(rest[a : cut[last]], segments, low, bound, rows)
+            a, done = int(cut[last]), int(held[last])
+        text, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(text, kind="stable")
+        text, pairs = text[order], np.stack((start[order], end[order]), axis=1).astype(np.uint32)
+        cut = np.append(K.runs(text), len(text))
+        for a in range(0, len(cut) - 1, 8192):
+            part = cut[a : a + 8193]
+            digests = names[text[part[:-1]]]
+            yield pa.RecordBatch.from_arrays([_binary(digests, 16 * np.arange(1, len(digests) + 1)), _binary(pairs[part[0] : part[-1]], 8 * (part[1:] - part[0]))], names=["digest", "spans"])
 
 
 def _first_keys(segments: list[bytes]) -> np.ndarray:

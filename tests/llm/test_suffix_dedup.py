@@ -1,8 +1,12 @@
 """Suffix dedup at its edges: slices without a window, long texts, hot keys, and the sorts' own pieces."""
 
+import cProfile
+import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +75,37 @@ def test_finer_keys_cover_the_same_windows():
         r, k, a, b, _ = suffix_dedup._segments(data, off, every, [np.sort(x) for x in hot])
         cover = lambda x, y: np.concatenate([np.arange(i, j) for i, j in zip(x, y, strict=True)])
         assert (cover(a, b) == cover(start, end)).all() and (np.diff(r) >= 0).all()
+
+
+def packed(rows):
+    """The segments of all texts in one bucket, as _pack_segments gives them."""
+    digest = lambda t: hashlib.md5(t.encode()).digest()
+    columns = [pa.array([digest(t) for _, t in rows]), pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])]
+    batch, hot = pa.RecordBatch.from_arrays(columns, names=["digest", "id", "text"]), SimpleNamespace(value=[])
+    keys = {}
+    for part in suffix_dedup._shared_keys(suffix_dedup._pack_keys(1, hot, [batch])):
+        for name, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            keys.setdefault(name, []).append(own)
+    lists = pa.array([keys.get(digest(t), []) for _, t in rows], pa.list_(pa.binary()))
+    return list(suffix_dedup._pack_segments(1, hot, [pa.RecordBatch.from_arrays([*columns, lists], names=["digest", "id", "text", "keys"])]))
+
+
+@pytest.mark.parametrize("size", [1, 1 << 19])
+def test_sort_works_by_arrays(monkeypatch, size):
+    """The sort finds what brute force does, and its calls do not grow with the rows that own segments."""
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", size)
+    rows = list({t: (i, t) for i, t in crowd() if i is not None}.values())
+    rows += [(1000 + i, f"{i:09d}" + t[:90] + "ab" * 40 + f"{i:09d}" * 8) for i, (_, t) in enumerate(rows)]
+    batches = packed(rows)
+    profile = cProfile.Profile()
+    found = {}
+    for part in profile.runcall(lambda: list(suffix_dedup._sort(batches))):
+        for name, spans in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            assert name not in found
+            found[name] = np.frombuffer(spans, np.uint32).reshape(-1, 2)
+    for (i, t), (_, _, gone, n, _) in zip(rows, suffix_dedup.brute(rows), strict=True):
+        s, e = suffix_dedup.K.merged(*found.get(hashlib.md5(t.encode()).digest(), np.zeros((0, 2), np.int64)).astype(np.int64).T)
+        assert (int((e - s).sum()), len(s)) == (gone, n), i
+    if size > 1:
+        calls = sum(x.callcount for x in profile.getstats())
+        assert calls < 10 * sum(map(len, found.values())), calls
