@@ -37,14 +37,15 @@ OUTCOMES = {
 
 
 def described(files: DataFrame) -> DataFrame:
-    """files (group_key, relative_path, size, duration; format_name, codec and chapters if there are) with what the rules need."""
+    """files (group_key, relative_path, size, duration; format_name, codec, chapters and position if there are) with what the rules need."""
     has = lambda c, kind: F.col(c).cast(kind) if c in files.columns else F.lit(None).cast(kind)
     path, duration = F.col("relative_path"), F.col("duration")
     rows = files.select(
         "group_key", "relative_path", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), F.when(F.coalesce(F.col("duration") > 0, F.lit(False)), F.col("duration").cast("double")).alias("duration"),
         has("format_name", "string").alias("format_name"), has("codec", "string").alias("codec"), F.coalesce(has("chapters", "int"), F.lit(0)).alias("chapters"),
+        F.col("position") if "position" in files.columns else F.lit(None).cast("long").alias("position"),
     )
-    rows = rows.select("group_key", "relative_path", "size", "duration", "chapters", F.lower("relative_path").alias("order_"), P.is_container(path, F.col("format_name"), F.col("codec")).alias("container"), (P.suffix(path) == "mp3").alias("mp3"))
+    rows = rows.select("group_key", "relative_path", "size", "duration", "chapters", "position", F.lower("relative_path").alias("order_"), P.is_container(path, F.col("format_name"), F.col("codec")).alias("container"), (P.suffix(path) == "mp3").alias("mp3"))
     stem = P.stem(path)
     number = F.regexp_extract(P.last_part(path), r"^(\d+)[ ._-]", 1).try_cast("int")
     return rows.withColumns({
@@ -115,7 +116,7 @@ def _summary(rows: DataFrame) -> DataFrame:
         F.max(F.when(numbered, F.col("number"))).alias("number_high"), F.count(F.when(numbered, F.col("number"))).alias("numbers"), F.sum(F.when(numbered, F.col("number"))).alias("number_sum"),
         (F.min(F.when(v & F.col("mp3"), F.col("root"))) == F.max(F.when(v & F.col("mp3"), F.col("root")))).alias("mp3_one_root"),
         F.sum(F.when(v & F.col("mp3"), F.col("duration"))).alias("mp3_total"), F.sum(F.when(v & F.col("container"), F.col("duration"))).alias("container_total"),
-        F.bool_and(F.when(v & F.col("container"), F.col("under_way"))).alias("all_under_way"), F.min(F.when(v & F.col("container"), F.struct("order_", "duration")))["duration"].alias("first_container"),
+        F.bool_and(F.when(v & F.col("container"), F.col("under_way"))).alias("all_under_way"), F.min(F.when(v & F.col("container"), F.struct("order_", "position", "duration")))["duration"].alias("first_container"),
         F.min(F.when(v & F.col("container"), F.col("duration"))).alias("least_container"), F.max(F.when(v & F.col("container"), F.col("duration"))).alias("most_container"),
         F.max_by("relative_path", F.when(v & F.col("container"), F.struct("duration", "size", "relative_path"))).alias("long_container"), F.min(F.when(v, F.col("relative_path"))).alias("one_path"),
         F.count_if(explicit).alias("explicits"), F.count_if(part).alias("parts"), F.max(F.when(part, F.col("duration"))).alias("longest_part"), F.sum(F.when(part, F.col("duration"))).alias("part_total"),
@@ -126,9 +127,9 @@ def decide(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row a group: group_key, state, rule, confidence, conflicts (a list), and the columns that say what was chosen.
 
     files: group_key, relative_path, size, duration in seconds (null or 0: unreadable), and if known format_name, codec,
-    chapters (their number). groups: group_key, reasons (a list). Equal targets go to the one whose path sorts last; equal trees and
-    clusters to the path that sorts first. Repeated paths count as files of their own; of those that sort first the shortest is the
-    first container. An empty table gives no rows. What the paths say is written to the shared folder, once, and stays there.
+    chapters (their number) and position (anything that can be ordered). groups: group_key, reasons (a list). Equal targets go to the one
+    whose path sorts last; equal trees and clusters to the path that sorts first. Repeated paths count as files of their own; of those that
+    sort first the one of the least position is the first container, or the shortest where positions are unknown. An empty table gives no rows. What the paths say is written to the shared folder, once, and stays there.
     """
     rows = stored(described(files))
     valid = rows.where("valid")
